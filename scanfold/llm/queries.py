@@ -148,8 +148,8 @@ def _kind(name: str, order: int, pattern: str, group: int, test: str) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
 SELECT doc_id, source, {order} AS kind, '{name}' AS name, s.a AS a, s.b AS b, s.v AS v FROM (
-  SELECT doc_id, source, unnest(list_transform(m, lambda x, i: {{'a': at[i] + length(p[i]), 'b': at[i] + length(p[i]) + length(x), 'v': regexp_extract(x, '{quoted}', {group})}})) AS s FROM (
-    SELECT *, list_transform(range(1, len(m) + 1), lambda i: CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT)) AS at FROM (
+  SELECT doc_id, source, unnest(list_transform(m, lambda x, i: {{'a': off[i] + length(p[i]), 'b': off[i] + length(p[i]) + length(x), 'v': regexp_extract(x, '{quoted}', {group})}})) AS s FROM (
+    SELECT *, list_transform(range(1, len(m) + 1), lambda i: CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT)) AS off FROM (
       SELECT doc_id, source, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS p FROM t)))
 WHERE {test}"""
 
