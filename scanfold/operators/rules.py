@@ -37,15 +37,31 @@ def _text_regex(text: str, mods: set[str]) -> str:
     return f"(?i:{out})" if "nocase" in mods else out
 
 
+def _braced(source: str, at: int) -> str:
+    """What lies between an opening bracket and its closing one; those in quoted strings don't count."""
+    depth, k, quoted = 1, at, False
+    while k < len(source) and depth:
+        c = source[k]
+        if c == "\\":
+            k += 1
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted:
+            depth += (c == "{") - (c == "}")
+        k += 1
+    if depth:
+        raise PatternError("a rule that doesn't end")
+    return source[at : k - 1]
+
+
 def parse_rules(source: str) -> list[Rule]:
     """All rules of a text. Private and global are read and ignored; imports, includes and modules are refused."""
     source = re.sub(r"/\*.*?\*/", " ", source, flags=re.S)
     out = []
-    pattern = re.compile(r"(?:(?:private|global)\s+)*rule\s+(\w+)\s*(?::\s*([\w\s]+?))?\s*\{(.*?)^\s*\}|(?:(?:private|global)\s+)*rule\s+(\w+)\s*(?::\s*([\w\s]+?))?\s*\{([^{}]*)\}", re.S | re.M)
     if re.search(r"^\s*(import|include)\b", source, re.M):
         raise PatternError("imports aren't supported")
-    for m in pattern.finditer(source):
-        name, tags, body = m[1] or m[4], m[2] or m[5], m[3] if m[3] is not None else m[6]
+    for m in re.finditer(r"\brule\s+(\w+)\s*(?::\s*([\w\s]+?))?\s*\{", source):
+        name, tags, body = m[1], m[2], _braced(source, m.end())
         cut = re.search(r"\bcondition\s*:", body)
         if not cut:
             raise PatternError(f"rule {name} has no condition")
@@ -189,7 +205,7 @@ class _Condition:
 
     def _enough(self, quantity, truths: list[Column]) -> Column:
         n = sum((F.when(F.coalesce(t, F.lit(False)), 1).otherwise(0) for t in truths), F.lit(0))
-        return n == len(truths) if quantity == "all" else n >= 1 if quantity == "any" else n == 0 if quantity == "none" else n >= quantity
+        return {"all": n == len(truths), "any": n >= 1, "none": n == 0}[quantity] if isinstance(quantity, str) else n >= quantity
 
     def some(self) -> Column:
         loop = self.peek() == "for"
@@ -214,7 +230,7 @@ class _Condition:
 
             hits = F.size(F.filter(items, body))
             self.take(")")
-            return hits == F.size(items) if q == "all" else hits >= 1 if q == "any" else hits == 0 if q == "none" else hits >= q
+            return {"all": hits == F.size(items), "any": hits >= 1, "none": hits == 0}[q] if isinstance(q, str) else hits >= q
         self.take("of")
         sets = self.set_of()
         if loop:
