@@ -43,20 +43,16 @@ class Profiler:
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """texts x dims sums of n-gram vectors, and which texts have a letter."""
         lows = [(t or "").lower() for t in texts]
-        codes = np.frombuffer(("\n" + "\n".join(lows) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer("".join(f"\n{t}\n" for t in lows).encode("utf-32-le", "surrogatepass"), np.uint32)
         found, at = np.unique(codes, return_inverse=True)
         letter = np.array([self._is_letter(int(c)) for c in found], bool)
         number = np.where(letter, np.cumsum(letter), 0)
         own = [0, *(int(c) for c in found[letter])]
         ids = number[at]
-        edge = np.zeros(len(codes), bool)
-        ends = np.cumsum([len(t) + 1 for t in lows])
-        edge[0] = True
-        edge[ends] = True
-        doc = np.zeros(len(codes), np.int64)
-        doc[ends[:-1]] = 1
-        doc = np.cumsum(doc)
-        keep = (ids > 0) | (np.concatenate([[1], ids[:-1]]) > 0) | edge
+        doc = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lows])
+        # runs of what isn't a letter become one blank
+        keep = np.ones(len(ids), bool)
+        keep[1:] = (ids[1:] > 0) | (ids[:-1] > 0) | (doc[1:] != doc[:-1])
         ids, doc = ids[keep], doc[keep]
         out = np.zeros((len(texts), self.dims), np.float32)
         has = np.bincount(doc[ids > 0], minlength=len(texts)) > 0
@@ -118,7 +114,7 @@ class LanguageModel:
         Rows with a null label or text teach nothing. The driver gets a count and one prototype for each label and
         for each of 16 tasks at most.
         """
-        work = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+        work = common.with_small_batches(docs).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
         sizes = {r["lang"]: r["count"] for r in docs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("lang")).count().collect()}
         if not sizes:
             return cls([], np.zeros((0, dims), np.float32), dims, n)
@@ -157,7 +153,7 @@ class LanguageModel:
         Ties go to the label first in order. Null ids and repeated rows are judged row by row; other columns are
         ignored; an empty table gives no rows.
         """
-        work, own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), self
+        work, own = common.with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             profiler = Profiler(own.dims, own.n)
@@ -177,4 +173,4 @@ class LanguageModel:
                 labels, scores = own.judge(profiler, batch.column(text_col).to_pylist())
                 yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(labels, scores, strict=True)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return common.with_small_batches(docs).mapInArrow(run, docs.schema)
