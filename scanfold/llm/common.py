@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='scanfold-shared-')}"
-        spark.conf.set(CHECKPOINT_DIR, found)
+        found = _own.setdefault(spark.sparkContext.applicationId, None) or f"file://{tempfile.mkdtemp(prefix='scanfold-shared-')}"
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -48,8 +50,26 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to send Python 1000 rows at a time unless it names another number: texts are long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a worker lives on and would keep what one large batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``, and at least a row."""
+    held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,6 +81,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <
             end = min(max(end, first + 1), batch.num_rows)
             yield batch.slice(first, end - first)
             first = end
+        held += int(at[-1] - at[0])
+        if held > 16 * limit:
+            held = 0
+            trim()
+    trim()
 
 
 def offset_type(array: pa.Array) -> type:

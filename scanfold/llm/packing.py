@@ -11,11 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, part long, leftover boolean"
 WHITE = b" \t\n\v\f\r"
-_tables: dict[str, common.ChunkTable] = {}
+_models: dict[str, bpe.WordBPE] = {}
 
 
 class Packer:
@@ -65,46 +65,23 @@ class Packer:
             yield number, pieces
 
 
-def token_table(path: str) -> common.ChunkTable:
-    """Ids of white-space separated chunks: neither normalisation nor a split pattern of this tokenizer crosses white space."""
-    if path not in _tables:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        mark = next((s for s in special if tokenizer.encode(f"a {s} b", add_special_tokens=False).ids.count(special[s]) == 1), None)
-
-        def encode(words: list[str]) -> list[np.ndarray]:
-            alone = [mark is None or any(s in w for s in special) for w in words]
-            together = [w for w, x in zip(words, alone, strict=True) if not x]
-            ids = np.array(tokenizer.encode(f" {mark} ".join(together), add_special_tokens=False).ids if together else [], np.uint32)
-            parts = iter(np.split(ids, at := np.flatnonzero(ids == special[mark])) if together else [])
-            assert not together or len(at) == len(together) - 1
-            first, found = True, []
-            for w, x in zip(words, alone, strict=True):
-                if x:
-                    found.append(np.array(tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
-                else:
-                    part = next(parts)
-                    found.append(np.ascontiguousarray(part if first else part[1:]))
-                    first = False
-            return found
-
-        _tables[path] = common.ChunkTable(encode)
-    return _tables[path]
-
-
 def tokenized(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after another, and n + 1 offsets."""
+    """Ids of all texts, one after another, and n + 1 offsets.
+
+    Neither normalisation nor the split pattern of these tokenizers crosses white space, so each distinct chunk
+    between white space is merged once.
+    """
+    if path not in _models:
+        _models[path] = bpe.WordBPE(path)
     chunks, at = common.chunked(texts, WHITE)
     if not len(chunks):
         return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    index, ids, _ = token_table(path).look_up(chunks)
-    size = np.array([len(x) for x in ids], np.int64)
-    begin = np.cumsum(size) - size
+    coded = chunks.dictionary_encode()
+    ids, size = _models[path].encode(coded.dictionary)
+    index = coded.indices.to_numpy()
     lengths = size[index]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    return common.ragged(np.concatenate(ids), begin[index], lengths), ends[at]
+    return common.ragged(ids.astype(np.uint32), (np.cumsum(size) - size)[index], lengths), ends[at]
 
 
 def _batches(rows: Iterator[tuple], part: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -147,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     sequence at most is not full. A null or empty text is the end id alone; null ids and repeated rows are
     documents of their own; other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = common.with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
