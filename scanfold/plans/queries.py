@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dlp, html, raw, url
+from ..functions import dlp, html, raw, scripts, similar, url
 from ..functions import text as tx
 from ..operators import logic, match, patterns, rollup, rules
 from ..sources import signatures as sigs
+from ..sources import structures
 from ..streaming import scan as streams
 from . import versions
 
@@ -593,3 +594,55 @@ def fuzzy_exact(s, d):
     x = t(s, d, "embeddings").select("vec_id", bits.alias("image_hash"))
     known = x.select(F.col("image_hash").alias("digest"), F.col("vec_id").alias("name"))
     return match.image_matches(x, known, id_col="vec_id").where("vec_id <> name").select("vec_id", F.col("name").alias("other"))
+
+
+# Similarity, scripts, embedded objects, hooks
+
+
+@query("SELECT * FROM (VALUES ('text/plain', 'text/plian', 90), ('base64', 'BASE64', 100), ('quoted', 'printable', 26), ('abc', 'xyz', 0)) v(a, b, percent)")
+def string_similarity(s, d):
+    return rows(s, "a string, b string", [("text/plain", "text/plian"), ("base64", "BASE64"), ("quoted", "printable"), ("abc", "xyz")]).select("a", "b", similar.similarity("a", "b").alias("percent"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'var n000="ab";document.write("AB");'), (2, 'n000(1)')) v(id, code)""")
+def script_normalize(s, d):
+    x = rows(s, "id int, js string", [(1, "var foo = 'a' + \"b\"; // note\ndocument.write(unescape('%41%42'));"), (2, "eval('alert' + '(1)')")])
+    return x.select("id", scripts.normalized("js").alias("code"))
+
+
+@query("SELECT doc_id, i - 1 AS offset, 'X' AS type FROM (SELECT doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 5) = 'token' AND i > 1)[1:10]) AS i FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))")
+def embedded_objects(s, d):
+    x = t(s, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select(F.col("doc_id").alias("object_id"), F.col("text").cast("binary").alias("content"))
+    return structures.embedded(x, ((b"token", "X"),)).select(F.col("parent_id").alias("doc_id"), "offset", "type")
+
+
+@query("SELECT * FROM (VALUES ('md5', 'd41d8cd98f00b204e9800998ecf8427e'), ('sha1', 'da39a3ee5e6b4b0d3255bfef95601890afd80709')) v(algo, digest)")
+def indicator_documents(s, d):
+    item = '<IndicatorItem id="1"><Context document="FileItem"/><Content type="{}">{}</Content></IndicatorItem>'
+    text = "<ioc>" + item.format("md5", "D41D8CD98F00B204E9800998ECF8427E") + item.format("sha1", "da39a3ee5e6b4b0d3255bfef95601890afd80709") + item.format("string", "x") + "</ioc>"
+    return rows(s, "x string", [(text,)]).select(F.explode(structures.indicators_of_compromise("x")).alias("i")).select("i.*")
+
+
+@query("SELECT conv_id, turn, contains(text, 'the') AS hit, CASE WHEN contains(text, 'the') THEN length(text) END AS size FROM conversations")
+def triggered_hook(s, d):
+    from ..operators.hooks import Hooks
+
+    h = Hooks()
+    h.add("size", lambda c: F.length(c), ("text",), logic.Logical.parse("T;Target:0;0;746865"))
+    return h.run(t(s, d, "conversations"), raw.byte_text("text")).select("conv_id", "turn", F.col("text").contains("the").alias("hit"), "size")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 2) GROUP BY user_id")
+def stream_signature_join(s, d):
+    e = t(s, d, "events")
+    top = e.groupBy("event_type").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "event_type").limit(2).select("event_type")
+    return streams.matched(e, top, "event_type").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT doc_id AS root_id, CASE WHEN contains(text, 'password') THEN 'STRONG_INDICATOR' ELSE 'NOTHING_FOUND' END AS verdict, CASE WHEN contains(text, 'password') THEN 'Creds.UNOFFICIAL' END AS last_alert, CAST(CASE WHEN contains(text, 'password') THEN 1 ELSE 0 END AS BIGINT) AS alerts FROM documents""")
+def whole_scan(s, d):
+    from . import scan
+
+    x = t(s, d, "documents").select(F.col("doc_id").alias("object_id"), F.col("text").cast("binary").alias("content"))
+    return scan.scan(x, scan.Signatures(bodies=[("Creds.UNOFFICIAL", 0, "*", "70617373776f7264")]), scan.ScanConfig(unpack=False, normalize=False))

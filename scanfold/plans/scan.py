@@ -14,7 +14,7 @@ from ..operators import match, rollup
 from ..operators.logic import Logical
 from ..operators.rules import Rule
 from ..operators.rules import matches as rule_matches
-from ..sources import members
+from ..sources import members, structures
 
 NORMALIZED, DECRYPTED, RETYPED, EMBEDDED = 1, 2, 4, 8
 #: Object types of each target of a signature; 0 is any.
@@ -52,6 +52,7 @@ class ScanConfig:
     min_ssns: int = 3
     normalize: bool = True
     unpack: bool = True
+    embedded: bool = False
     max_depth: int = 17
     max_file: int = 100 << 20
     max_scan: int = 400 << 20
@@ -87,10 +88,14 @@ def tree(objects: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     rows = typed(rows).select("object_id", F.col("object_id").alias("root_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("level"), "name", "type", F.array().cast("array<string>").alias("ancestor_types"), F.lit(0).alias("attrs"), F.octet_length("content").cast("long").alias("size"), "content")
     out = rows
     for level in range(1, config.max_depth + 1) if config.unpack else ():
-        packed = rows.where(F.col("type").isin(*members.DECODERS))
+        packed = rows.where(F.col("type").isin(*members.DECODERS)) if not config.embedded else rows
         if packed.isEmpty():
             break
         kids = members.children(packed, limit=config.max_file).where("content is not null")
+        if config.embedded:
+            inside = structures.embedded(rows.where(~F.col("type").isin(*members.DECODERS)))
+            extra = inside.select("parent_id", (F.col("offset") + 1_000_000).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("fname"), "content")
+            kids = kids.select("parent_id", "ordinal", "fname", "content").unionByName(extra)
         above = packed.select(F.col("object_id").alias("parent_id"), "root_id", "attrs", F.concat("ancestor_types", F.array("type")).alias("ancestor_types"))
         kids = kids.join(above, "parent_id").withColumn("object_id", F.xxhash64("parent_id", "ordinal"))
         rows = typed(kids).select("object_id", "root_id", "parent_id", F.lit(level).alias("level"), F.col("fname").alias("name"), "type", "ancestor_types", F.col("attrs").bitwiseAND(DECRYPTED).alias("attrs"), F.octet_length("content").cast("long").alias("size"), "content")

@@ -81,3 +81,31 @@ def set_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def pruned(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Files that no list names."""
     return files.join(listed, "file", "left_anti")
+
+
+def announced(record: str) -> dict[str, int]:
+    """Versions of a colon-separated announcement: engine, main, daily, time, level, bytecode."""
+    parts = record.split(":")
+    names = ("main", "daily", "time", "warn", "level", None, "bytecode")
+    return {"engine": parts[0]} | {n: int(p) for n, p in zip(names, parts[1:], strict=False) if n and p.lstrip("-").isdigit()}
+
+
+def updated(tables: DataFrame, log: DataFrame, local: int, remote: int, full: DataFrame | None = None, most: int = 100) -> tuple[DataFrame, int]:
+    """Tables and the version reached: patch by patch, at most ``most``; where a patch fails or there are more, the full snapshot if there is one."""
+    if remote - local > most and full is not None:
+        return full, remote
+    for version in range(local + 1, min(remote, local + most) + 1):
+        edits = log.where(F.col("version") == version)
+        try:
+            if edits.isEmpty():
+                raise ValueError(f"no patch for version {version}")
+            tables = patched(tables, edits)
+        except ValueError:
+            return (full, remote) if full is not None else (tables, version - 1)
+    return tables, min(remote, local + most)
+
+
+def built(tables: dict[str, DataFrame], version: int, builder: str, time: int, level: int = 1) -> tuple[str, dict[str, int]]:
+    """The head line of an archive of tables, and the number of signatures of each."""
+    counts = {k: t.count() for k, t in tables.items()}
+    return f"Tables-VDB:{time}:{version}:{sum(counts.values())}:{level}:X:X:{builder}:{time}".ljust(512), counts
