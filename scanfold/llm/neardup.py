@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for batch in common.text_slices(batches, "text", 2 << 20):
+        for batch in common.text_slices(batches, "text", 1 << 19):
             n, h1, h2, keys, sig = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 n.append(len(s))
@@ -128,28 +128,32 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full shingle sets have at least ``percent`` of their union in common.
+def roles(pairs: DataFrame) -> DataFrame:
+    """What each document has to do with ``pairs`` (a, b): (doc_id, a, part, role), role 0 as the first of them, 1 as the second.
 
-    A pair's first text goes to each of up to 64 parts of its partners, so no text with many partners is one task's work.
+    A first document goes to each of up to 64 parts of its partners, so none with many partners is one task's work.
     """
     part = F.pmod(F.xxhash64("b"), F.lit(64))
     cut = pairs.groupBy("a").agg(F.least(F.lit(64), F.ceil(F.count("*") / 256)).alias("cuts"))
     both = pairs.join(cut, "a").select("a", "b", F.when(F.col("cuts") > 1, F.pmod(part, F.col("cuts"))).otherwise(F.lit(0)).cast("int").alias("part"))
-    roles = both.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).unionByName(both.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct())
-    rows = texts.join(roles, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    return both.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).unionByName(both.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct())
+
+
+def confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those (a, b) whose full shingle sets have at least ``percent`` of their union in common; ``rows`` are :func:`roles` with texts."""
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = None, None
-        for batch in common.text_slices(batches, "text", 2 << 20):
+        for batch in common.text_slices(batches, "text", 1 << 19):
             left, right = [], []
             sets = shingle_sets(batch.column("text"), words)
             for doc, a, part, role, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "part", "role")), sets, strict=True):
                 if role == 0:
                     held, head = (a, part), s
                 elif held == (a, part):
-                    common_ = np.intersect1d(head, s, assume_unique=True).size
-                    if common_ and 100 * common_ >= percent * (len(head) + len(s) - common_):
+                    shared = np.intersect1d(head, s, assume_unique=True).size
+                    if shared and 100 * shared >= percent * (len(head) + len(s) - shared):
                         left.append(a)
                         right.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     threshold = percent / 100
     bands, rows = banding(threshold, rows, miss)
-    work = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = common.with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = common.written(signatures(work, words, bands, rows), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -247,11 +251,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     inside = common.written(placed.join(buckets, "key"), "buckets")
     texts = work.where("doc_id is not null")
     stars = inside.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = common.written(confirmed(stars, texts, words, percent), "links")
+    # every member of a bucket has a role here; texts are joined once, and the second round reads what is left of them
+    per = roles(stars).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "role")).alias("roles"))
+    texts = common.written(texts.join(per, "doc_id").select("doc_id", "text", "roles"), "texts", compression="zstd")
+    links = common.written(confirmed(texts.select("doc_id", "text", F.inline("roles")), words, percent), "links")
     found = components(links)
     more = common.written(_crossing(inside.select("key", "rep"), found, reps.select("doc_id", "n_shingles", "sig"), threshold, bands * rows), "crossing")
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed(more, texts, words, percent)))
+        found = components(links.unionByName(confirmed(texts.select("doc_id", "text").join(roles(more), "doc_id"), words, percent)))
     return member.join(found, member["rep"] == found["node"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")
     ).withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
