@@ -109,9 +109,34 @@ def read_plain(data: memoryview, at: int, wanted) -> tuple[int, dict[str, str],
         raise ValueError("a record's headers don't end")
     headers = parse_headers(bytes(data[at:cut]))
     n = int(headers["content-length"])
+    if not wanted(headers):
+        return cut + 4 + n + 4, headers, None
     if cut + 4 + n > len(data):
         raise ValueError("the archive ends within a record")
-    return cut + 4 + n + 4, headers, bytes(data[cut + 4 : cut + 4 + n]) if wanted(headers) else None
+    return cut + 4 + n + 4, headers, bytes(data[cut + 4 : cut + 4 + n])
+
+
+def records(f, size: int, one, wanted, window: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and payloads of an open archive. Memory holds a window of the file, or the largest wanted record; what is skipped isn't read."""
+    base, data, at, need = 0, b"", 0, window
+    while at < size:
+        if at > base + len(data):
+            base, data = at, b""
+        have = base + len(data) - at
+        if have < min(need, size - at):
+            data = data[at - base :]
+            base = at
+            f.seek(base + len(data))
+            data += f.read(min(need, size - at) - have)
+        try:
+            end, headers, payload = one(memoryview(data), at - base, wanted)
+        except (ValueError, struct.error, IndexError):
+            if base + len(data) >= size:
+                raise
+            need *= 2
+            continue
+        at, need = base + end, window
+        yield headers, payload
 
 
 @dataclass
@@ -173,12 +198,11 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], kinds.get(n, pa.string())) for n in self.names], names=self.names)
 
         for path in partition.paths:
+            one = read_member if path.endswith(".gz") else read_plain
             with fs.open_input_file(path) as f:
-                data = memoryview(f.read())
-            one, at = (read_member if path.endswith(".gz") else read_plain), 0
-            while at < len(data):
-                at, headers, payload = one(data, at, (lambda h: wanted(h)) if "payload" in self.names else (lambda h: False))
-                if wanted(headers):
+                for headers, payload in records(f, f.size(), one, wanted if "payload" in self.names else lambda h: False):
+                    if not wanted(headers):
+                        continue
                     row = {c: headers.get(h) for c, h in HEADERS.items()}
                     held.append(row | {"content_length": int(headers.get("content-length", 0)), "payload": payload})
                     size += len(payload or b"") + 200
