@@ -115,3 +115,22 @@ def logical_matches(objects: DataFrame, signatures: list[Logical], *, id_col: st
     rows = objects.select(id_col, raw.byte_text(content).alias("_t"), obj.alias("_o"))
     fired = [F.when(s.admits(F.col("_o")) & s.fires(F.col("_t"), exe=F.col("_o.exe")), F.lit(s.name)) for s in signatures]
     return rows.select(id_col, F.explode(F.filter(F.array(*fired), lambda n: n.isNotNull())).alias("name"))
+
+
+def import_matches(objects: DataFrame, signatures: DataFrame, *, id_col: str = "object_id", content: str = "content") -> DataFrame:
+    """(object, name): digests of import tables of executables, by the length of their list. Only executables go to Python."""
+    from ..sources.members import imports
+
+    rows = objects.where(F.hex(F.substring(content, 1, 2)) == "4D5A").select(id_col, imports(F.col(content)).alias("list")).where("list is not null")
+    each = rows.select(id_col, F.length("list").cast("long").alias("size"), F.explode(F.create_map(*(x for a in ("md5", "sha1", "sha256") for x in (F.lit(a), tx.digest("list", a))))).alias("algo", "digest"))
+    wild = signatures.where("size is null").select("algo", "digest", "name")
+    sized = signatures.where("size is not null").select("algo", "digest", "size", "name")
+    return each.join(small(sized), ["algo", "digest", "size"]).select(id_col, "name").unionByName(each.join(small(wild), ["algo", "digest"]).select(id_col, "name"))
+
+
+def handler_types(objects: DataFrame, signatures: list[Logical], *, id_col: str = "object_id", content: str = "content") -> DataFrame:
+    """(object, type): what signatures with a handler make of an object instead of raising an alert; it is then scanned as that type."""
+    own = [s for s in signatures if "HandlerType" in s.tdb]
+    types = F.create_map(*(F.lit(x) for s in own for x in (s.name, s.tdb["HandlerType"])))
+    hit = logical_matches(objects, own, id_col=id_col, content=content)
+    return hit.groupBy(id_col).agg(F.min("name").alias("name")).select(id_col, F.element_at(types, F.col("name")).alias("type"))

@@ -646,3 +646,14 @@ def whole_scan(s, d):
 
     x = t(s, d, "documents").select(F.col("doc_id").alias("object_id"), F.col("text").cast("binary").alias("content"))
     return scan.scan(x, scan.Signatures(bodies=[("Creds.UNOFFICIAL", 0, "*", "70617373776f7264")]), scan.ScanConfig(unpack=False, normalize=False))
+
+
+@query("SELECT * FROM (VALUES ('ARCHIVE', 4294967295), ('PHISHING', 3)) v(module, mask)")
+def module_switches(s, d):
+    return sigs.module_switches(s.createDataFrame([("ARCHIVE:0xFFFFFFFF:1:255",), ("PHISHING:0x3:70:",), ("OLD:0x1:1:100",), ("BAD:x:1:2",)], "value string"))
+
+
+@query("SELECT conv_id, turn, 'MAIL' AS type FROM conversations WHERE contains(text, 'the') AND NOT contains(text, 'and')")
+def handler_types(s, d):
+    x = t(s, d, "conversations").select(F.struct("conv_id", "turn").alias("object_id"), F.col("text").cast("binary").alias("content"))
+    return match.handler_types(x, [logic.Logical.parse("H;Target:0,HandlerType:MAIL;0&1=0;746865;616e64")]).select("object_id.*", "type")

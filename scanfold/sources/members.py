@@ -17,9 +17,11 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 CHILD = "parent_id long, ordinal int, container_type string, fname string, csize long, fsizec long, fsizer long, encrypted boolean, filepos long, content binary, alert string"
 Row = tuple  # name, packed size, real size, encrypted, place, content, alert
@@ -344,9 +346,6 @@ def exe_info(content: bytes) -> tuple[int | None, int, list[dict]] | None:
 
 def with_exe(objects: DataFrame, *, content: str = "content") -> DataFrame:
     """``objects`` with a column ``exe``; content that has no such head isn't sent to Python."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     kind = "struct<ep:bigint,nsections:int,sections:array<struct<rva:bigint,vsz:bigint,raw:bigint,rsz:bigint>>>"
 
     @pandas_udf(kind)
@@ -378,3 +377,44 @@ def transfer_decoded(body: str, encoding: str) -> bytes:
     if encoding == "quoted-printable":
         return quopri.decodestring(raw)
     return raw
+
+
+def import_list(content: bytes) -> str | None:
+    """Imports of a PE file as ``library.function`` in lower case, comma-separated in file order; ordinals as ``ord`` and a number."""
+    try:
+        pe = struct.unpack_from("<I", content, 60)[0]
+        wide = struct.unpack_from("<H", content, pe + 24)[0] == 0x20B
+        table = struct.unpack_from("<I", content, pe + 24 + (120 if wide else 104))[0]
+        found = exe_info(content)
+        if not table or found is None:
+            return None
+
+        def place(rva: int) -> int:
+            return next(s["raw"] + rva - s["rva"] for s in found[2] if s["rva"] <= rva < s["rva"] + max(s["vsz"], s["rsz"]))
+
+        def text(at: int) -> str:
+            return content[at : content.index(b"\0", at)].decode("latin-1").lower()
+
+        out, at, step, flag = [], place(table), 8 if wide else 4, 1 << (63 if wide else 31)
+        while True:
+            first, _, _, name, thunk = struct.unpack_from("<5I", content, at)
+            if not name:
+                break
+            library = text(place(name))
+            library = library.rsplit(".", 1)[0] if library.endswith((".dll", ".ocx", ".sys")) else library
+            t = place(first or thunk)
+            while value := int.from_bytes(content[t : t + step], "little"):
+                out.append(f"{library}.ord{value & 0xFFFF}" if value & flag else f"{library}.{text(place(value) + 2)}")
+                t += step
+            at += 20
+        return ",".join(out)
+    except (struct.error, IndexError, ValueError, StopIteration):
+        return None
+
+
+def imports(content):
+    """The import list as a column."""
+    def each(data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else import_list(bytes(d)) for d in data], dtype=object)
+
+    return pandas_udf(each, "string")(content)

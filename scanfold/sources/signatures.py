@@ -211,3 +211,11 @@ def archive_header(content: Column | str) -> Column:
         F.timestamp_seconds(at(8).try_cast("long")).alias("time"),
     )
     return F.when((F.size(p) >= 8) & at(0).rlike(r"-VDB\z"), fields)
+
+
+def module_switches(lines: DataFrame, level: int = LEVEL) -> DataFrame:
+    """(module, mask): on and off bits of scan modules from lines ``NAME:0xMASK:MinFL:MaxFL`` that admit this engine's level."""
+    p = F.split(F.col("value"), ":", -1)
+    at = lambda k: F.get(p, F.lit(k))
+    ok = (F.coalesce(at(2).try_cast("int"), F.lit(0)) <= level) & (F.coalesce(at(3).try_cast("int"), F.lit(2**31 - 1)) >= level)
+    return lines.where(ok & at(1).rlike(r"\A0x[0-9A-Fa-f]{1,8}\z")).select(at(0).alias("module"), F.conv(F.substring(at(1), 3, 8), 16, 10).cast("long").alias("mask"))

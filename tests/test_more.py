@@ -115,3 +115,40 @@ def test_updates(spark):
     assert versions.announced("1.2:62:27:1700000000:1:90:x:335") == {"engine": "1.2", "main": 62, "daily": 27, "time": 1700000000, "warn": 1, "level": 90, "bytecode": 335}
     head, counts = versions.built({"ndb": table}, 7, "me", 1)
     assert len(head) == 512 and counts == {"ndb": 1}
+
+
+def small_exe():
+    """A PE file with one section and an import of two functions."""
+    sec = bytearray(512)
+    sec[0:20] = struct.pack("<5I", 0x1040, 0, 0, 0x1080, 0x1060)
+    for base in (0x40, 0x60):
+        sec[base : base + 12] = struct.pack("<III", 0x1090, 0x80000007, 0)
+    sec[0x80:0x8D] = b"KERNEL32.DLL\0"
+    sec[0x90:0x9D] = b"\0\0LoadThing\0\0"
+    head = bytearray(512)
+    head[0:2], head[60:64] = b"MZ", struct.pack("<I", 64)
+    head[64:88] = b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 1, 0, 0, 0, 224, 0)
+    head[88:90] = struct.pack("<H", 0x10B)
+    head[104:108] = struct.pack("<I", 0x1000)
+    head[88 + 104 : 88 + 112] = struct.pack("<II", 0x1000, 40)
+    head[88 + 224 : 88 + 264] = b".text\0\0\0" + struct.pack("<4I", 512, 0x1000, 512, 512) + bytes(16)
+    return bytes(head + sec)
+
+
+def test_executables(spark):
+    import hashlib
+
+    from scanfold.operators import match
+
+    exe = small_exe()
+    assert members.exe_info(exe)[:2] == (512, 1) and members.import_list(exe) == "kernel32.loadthing,kernel32.ord7" and members.import_list(b"MZ") is None
+    df = spark.createDataFrame([(1, bytearray(exe)), (2, bytearray(b"MZ no")), (3, bytearray(b"text")), (4, None)], "object_id long, content binary")
+    listed = members.import_list(exe)
+    sigs = spark.createDataFrame([("md5", hashlib.md5(listed.encode()).hexdigest(), len(listed), "Imp"), ("sha256", hashlib.sha256(listed.encode()).hexdigest(), None, "ImpAny")], "algo string, digest string, size long, name string")
+    assert sorted(map(tuple, match.import_matches(df, sigs).collect())) == [(1, "Imp"), (1, "ImpAny")]
+    with_exe = members.with_exe(df)
+    assert {r["object_id"]: r["exe"] and r["exe"]["nsections"] for r in with_exe.collect()} == {1: 1, 2: None, 3: None, 4: None}
+    sec = spark.createDataFrame([("md5", hashlib.md5(exe[512:1024]).hexdigest(), 512, "Sec")], "algo string, digest string, size long, name string")
+    assert [tuple(r) for r in match.section_matches(with_exe, sec).collect()] == [(1, 0, "Sec")]
+    sig = Logical.parse("E;Target:1,EntryPoint:512,NumberOfSections:1-2;0;EP+144:00004c6f6164")
+    assert [tuple(r) for r in match.logical_matches(with_exe, [sig]).collect()] == [(1, "E")]
