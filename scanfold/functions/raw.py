@@ -49,12 +49,10 @@ def match_count(text: Column | str, regex: str) -> Column:
 
 
 def entropy(content: Column | str) -> Column:
-    """Shannon entropy of the bytes, in bits; null for no bytes. One pass over the sorted bytes folds runs into a sum."""
-    h = F.hex(col(content).cast("binary"))
-    n = F.length(h) / 2
-    symbols = F.array_sort(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)))
-    start = F.struct(F.lit("").alias("s"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
-    log = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(0.0)
-    step = lambda a, x: F.when(a["s"] == x, F.struct(x.alias("s"), (a["k"] + 1.0).alias("k"), a["sum"].alias("sum"))).otherwise(F.struct(x.alias("s"), F.lit(1.0).alias("k"), (a["sum"] + log(a["k"])).alias("sum")))
-    total = F.aggregate(symbols, start, step, lambda a: a["sum"] + log(a["k"]))
+    """Shannon entropy of the bytes, in bits; null for no bytes. Each distinct byte is counted by what is left without it."""
+    t = byte_text(content)
+    n = F.length(t)
+    distinct = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
+    counts = F.transform(distinct, lambda c: (n - F.length(F.replace(t, c, F.lit("")))).cast("double"))
+    total = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * F.log2(k))
     return F.when(n > 0, F.log2(n) - total / n)

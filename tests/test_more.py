@@ -152,3 +152,24 @@ def test_executables(spark):
     assert [tuple(r) for r in match.section_matches(with_exe, sec).collect()] == [(1, 0, "Sec")]
     sig = Logical.parse("E;Target:1,EntryPoint:512,NumberOfSections:1-2;0;EP+144:00004c6f6164")
     assert [tuple(r) for r in match.logical_matches(with_exe, [sig]).collect()] == [(1, "E")]
+
+
+def test_event_streams(spark, tmp_path):
+    from scanfold.streaming import scan as streams
+
+    rows = [(1, 1, "read", 0), (2, 1, "read", 60), (3, 2, "write", 3700), (4, 3, "read", 3800)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df.write.parquet(str(tmp_path / "in"))
+    events = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+
+    def run(stream, name, mode="append"):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    kept = run(streams.first_seen(streams.admitted(events(), exclude_users=(3,)), keys=["user_id", "event_type"]), "firsts")
+    assert sorted((r["user_id"], r["event_type"]) for r in kept) == [(1, "read"), (2, "write")]
+    counts = run(streams.windowed(events()), "counts", "complete")
+    assert sorted((r["event_type"], r["n"]) for r in counts) == [("read", 1), ("read", 2), ("write", 1)]
+    sigs = spark.createDataFrame([("write", "W")], "event_type string, name string")
+    assert [r["name"] for r in run(streams.matched(events(), sigs, "event_type"), "matches")] == ["W"]
