@@ -128,7 +128,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     wide. A null or empty text is a row of zeros. Null ids and repeated rows are stored row by row; other columns
     are ignored; an empty table gives no rows.
     """
-    work = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = common.with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text"):
@@ -150,7 +150,7 @@ def features(stored: DataFrame, *, id_col: str = "doc_id", media_col: str = "med
     is null, cut short or fails a checksum has null payload and feature, and says why in error.
     """
     size = "n_bytes" if "n_bytes" in stored.columns else None
-    work = stored.select(F.col(id_col).alias("doc_id"), (F.col(size) if size else F.lit(None)).cast("long").alias("n_bytes"), F.col(media_col).cast("binary").alias("media"))
+    work = common.with_small_batches(stored).select(F.col(id_col).alias("doc_id"), (F.col(size) if size else F.lit(None)).cast("long").alias("n_bytes"), F.col(media_col).cast("binary").alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "media"):

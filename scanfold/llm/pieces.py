@@ -79,7 +79,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     or empty text has the end id alone. Null ids, repeated rows and other columns are carried or ignored as
     they are; an empty table gives no rows.
     """
-    work = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = common.with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
@@ -94,7 +94,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The library's decode(ids) of every row: (doc_id, ids, text). Null ids decode to an empty text."""
-    work = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    work = common.with_small_batches(encoded).select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = model(path).processor
