@@ -68,3 +68,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(three)
     assert re.search("hex", ",".join(secrets.KINDS)) and random.Random(1)
     assert corpus_pipeline.run(spark, FOLDER).count() == seen["packing"].count() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_digests_against_libraries(spark):
+    import hashlib
+    import struct
+    import zlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from scanfold.llm import media
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    bpe, sp = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    for r in queries.op3_packing(spark, FOLDER).collect():
+        ids = [*bpe.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
+        part = ids[r["start"] : r["start"] + r["length"]]
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    for r in queries.op4_sentencepiece(spark, FOLDER).collect():
+        ids = [*sp.encode(texts[r["doc_id"]]), 2]
+        assert tuple(r)[1:] == (len(ids), h(" ".join(map(str, ids)).encode()), h(sp.decode(ids).encode()))
+    for r in queries.op8_media(spark, FOLDER).collect():
+        data = texts[r["doc_id"]].encode()
+        padded = data + bytes(-len(data) % 64 if data else 64)
+        assert tuple(r)[1:5] == (len(data), len(padded), h(padded), zlib.crc32(padded[-64:])) and len(r["feature"]) == 16
+        import numpy as np
+
+        png = media.encode_png(np.frombuffer(padded, np.uint8).reshape(-1, 64))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), h(png))
