@@ -71,6 +71,18 @@ class Counter:
 
     def best(self, word: str) -> tuple[int, float]:
         """The number of pieces of the best segmentation, and its score. Each unknown character counts its UTF-8 bytes."""
+        if self.single.issuperset(word):
+            # every place ends a match; the automaton tells a place's matches one after another, the longest first
+            score, pieces, place, top, count = [0.0], [0], 0, -math.inf, 0
+            for end, (size, s) in self.automaton.iter(word):
+                if end != place:
+                    score.append(top)
+                    pieces.append(count)
+                    place, top = end, -math.inf
+                start = end + 1 - size
+                if (x := score[start] + s) > top:
+                    top, count = x, pieces[start] + 1
+            return (count, top) if word else (0, 0.0)
         n = len(word)
         score, pieces = [0.0] + [-math.inf] * n, [0] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
@@ -121,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     A null or empty text has 0 pieces and score 0. Null ids, ties and repeated rows are counted row by row; other
     columns are ignored, whatever their names; an empty table gives no rows.
     """
-    work = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = common.with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
