@@ -144,23 +144,60 @@ def confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head = None, None
+        held, heads = None, []
         for batch in common.text_slices(batches, "text", 1 << 19):
             left, right = [], []
             sets = shingle_sets(batch.column("text"), words)
             for doc, a, part, role, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "part", "role")), sets, strict=True):
                 if role == 0:
-                    held, head = (a, part), s
-                elif held == (a, part):
-                    shared = np.intersect1d(head, s, assume_unique=True).size
-                    if shared and 100 * shared >= percent * (len(head) + len(s) - shared):
-                        left.append(a)
-                        right.append(doc)
+                    heads = [*heads, s] if held == (a, part) else [s]
+                    held = (a, part)
+                elif held == (a, part) and any(_linked(h, s, percent) for h in heads):
+                    left.append(a)
+                    right.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return rows.select("doc_id", "text", "a", "part", "role").mapInArrow(run, "a long, b long")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    shared = np.intersect1d(a, b, assume_unique=True).size
+    return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def confirmed_in_cells(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same for pairs (key, i, j, a, b): each cell of two blocks gets its texts once, however many pairs it has.
+
+    A task holds the sets of one cell, of two blocks at most, and tests the pairs that follow them.
+    """
+    cell = ["key", "i", "j"]
+    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    null = F.lit(None)
+    rows = ends.select(*cell, F.lit(0).alias("kind"), "doc_id", "text", null.cast("long").alias("a"), null.cast("long").alias("b")).unionByName(
+        pairs.select(*cell, F.lit(1).alias("kind"), null.cast("long").alias("doc_id"), null.cast("string").alias("text"), "a", "b")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in common.text_slices(batches, "text", 1 << 19):
+            left, right = [], []
+            sets = shingle_sets(batch.column("text"), words)
+            for *now, kind, doc, a, b, s in zip(*(batch.column(c).to_pylist() for c in (*cell, "kind", "doc_id", "a", "b")), sets, strict=True):
+                if now != at:
+                    at, held = now, {}
+                if kind == 0:
+                    held.setdefault(doc, []).append(s)
+                elif any(_linked(x, y, percent) for x in held.get(a, ()) for y in held.get(b, ())):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    rows = rows.repartition(*cell).sortWithinPartitions(*cell, "kind")
+    return rows.select(*cell, "kind", "doc_id", "text", "a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) and the smallest node it is connected with, by alternating large and small stars.
 
@@ -184,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _crossing(inside: DataFrame, found: DataFrame, sig: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Pairs of a bucket whose members aren't yet in one component, where the signatures don't rule the link out.
+    """Pairs (key, i, j, a, b) of a bucket whose members aren't yet in one component, where the signatures don't rule the link out; each pair in one cell.
 
     Buckets are cut in blocks, and a task compares two blocks; only pairs whose matching share lies within five
     standard deviations of the threshold, or above, go on to the exact test.
@@ -210,7 +247,8 @@ def _crossing(inside: DataFrame, found: DataFrame, sig: DataFrame, threshold: fl
                 if len(y):
                     share = (sig[y] == sig[x]).mean(axis=1)
                     out += [(min(rep[x], r), max(rep[x], r)) for r in rep[y[share >= least]]]
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            here = [pa.array([held[0][k]] * len(out), t) for k, t in ((0, pa.int64()), (6, pa.int32()), (7, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*here, *(pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1))], names=["key", "i", "j", "a", "b"])
 
         held, at = [], None
         for batch in batches:
@@ -223,7 +261,8 @@ def _crossing(inside: DataFrame, found: DataFrame, sig: DataFrame, threshold: fl
         if held:
             yield tested(held)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i int, j int, a long, b long")
+    return found.groupBy("a", "b").agg(F.min("key").alias("key"), F.min_by("i", "key").alias("i"), F.min_by("j", "key").alias("j"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-7) -> DataFrame:
@@ -236,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     another, in blocks: no bucket's pairs are all listed, and none are left out.
 
     Texts without words, null or empty ones included, are linked with nothing. Rows without an id have a null
-    component_id and are kept. Rows that share an id are one node. Other columns are ignored; an empty table gives no rows.
+    component_id and are kept. Rows that share an id are judged by their own texts. Other columns are ignored; an empty table gives no rows.
     """
     threshold = percent / 100
     bands, rows = banding(threshold, rows, miss)
@@ -258,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = components(links)
     more = common.written(_crossing(inside.select("key", "rep"), found, reps.select("doc_id", "n_shingles", "sig"), threshold, bands * rows), "crossing")
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed(texts.select("doc_id", "text").join(roles(more), "doc_id"), words, percent)))
+        found = components(links.unionByName(confirmed_in_cells(more, texts.select("doc_id", "text"), words, percent)))
     return member.join(found, member["rep"] == found["node"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")
     ).withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
