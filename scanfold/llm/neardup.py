@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every link is confirmed on full sets. Candidates share a band of circulant MinHash; a pair at the threshold
     has none with a probability of at most ``miss``. Equal sets are one class from the start. Within a bucket
     all members are tested against the smallest, and then those that are still in different components against one
-    another, in blocks: no bucket's pairs are all listed, and none are left out.
+    another, in blocks of bounded size. A pair goes untested only if its signatures agree more than five standard
+    deviations less than those of a pair at the threshold would.
 
     Texts without words, null or empty ones included, are linked with nothing. Rows without an id have a null
     component_id and are kept. Rows that share an id are judged by their own texts. Other columns are ignored; an empty table gives no rows.
