@@ -116,26 +116,28 @@ def read_plain(data: memoryview, at: int, wanted) -> tuple[int, dict[str, str],
     return cut + 4 + n + 4, headers, bytes(data[cut + 4 : cut + 4 + n])
 
 
-def records(f, size: int, one, wanted, window: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and payloads of an open archive. Memory holds a window of the file, or the largest wanted record; what is skipped isn't read."""
-    base, data, at, need = 0, b"", 0, window
+def records(f, size: int, one, wanted, window: int = 1 << 20, least: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and payloads of an open archive. Memory holds a window of the file, or the largest wanted record; what is skipped isn't read.
+
+    The window is filled again when fewer than ``least`` bytes are left in it, or when a record goes beyond it.
+    """
+    base, data, at, need = 0, b"", 0, least
     while at < size:
         if at > base + len(data):
             base, data = at, b""
         have = base + len(data) - at
         if have < min(need, size - at):
-            data = data[at - base :]
-            base = at
-            f.seek(base + len(data))
-            data += f.read(min(need, size - at) - have)
+            data, base = data[at - base :], at
+            f.seek(base + have)
+            data += f.read(min(max(window, need - have), size - base - have))
         try:
             end, headers, payload = one(memoryview(data), at - base, wanted)
         except (ValueError, struct.error, IndexError):
             if base + len(data) >= size:
                 raise
-            need *= 2
+            need = 2 * (base + len(data) - at)
             continue
-        at, need = base + end, window
+        at, need = base + end, least
         yield headers, payload
 
 

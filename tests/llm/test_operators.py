@@ -115,7 +115,7 @@ def test_archive_reader(spark, tmp_path):
     many = [({"WARC-Type": ("response", "request")[k % 2], "WARC-Record-ID": f"<{k}>"}, bytes([k]) * (k * 997)) for k in range(40)]
     for pack, one in ((lambda h, p: warc.record(h, p), warc.read_member), (lambda h, p: gzip.compress(gzip.decompress(warc.record(h, p))), warc.read_member), (lambda h, p: gzip.decompress(warc.record(h, p)), warc.read_plain)):
         whole = b"".join(pack(h, p) for h, p in many)
-        got = list(warc.records(io.BytesIO(whole), len(whole), one, lambda h: h["warc-type"] == "request", window=300))
+        got = list(warc.records(io.BytesIO(whole), len(whole), one, lambda h: h["warc-type"] == "request", window=300, least=100))
         assert [(h["warc-record-id"], p) for h, p in got] == [(f"<{k}>", p if k % 2 else None) for k, (_, p) in enumerate(many)]
     broken = bytearray(data)
     broken[len(warc.record(*recs[0])) - 6] ^= 1
