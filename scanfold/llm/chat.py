@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .native import sums_before
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -60,6 +61,7 @@ def windows(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
         *key, (F.col("n0") + F.col("n")).alias("idx"), (F.col("sum0") + F.col("upto") - F.col("tokens")).alias("pre"), F.floor((F.col("sum0") + F.col("upto") - 1) / width).cast("long").alias("w"),
         (F.col("holds_system") & (F.col("n") == F.col("sys_n"))).alias("is_system"), "role", "body", F.length("head").alias("head"), "tokens",
     )
+    rows = common.written(rows, "turns")  # four branches read it
     spans = rows.groupBy(*key, "w").agg(F.min("pre").alias("first"), F.max(F.when(F.col("is_system"), F.lit(1)).otherwise(0)).alias("own"))
     parts = ["kind", "idx", "body", "head", "tokens", "loss"]
     new = rows.select(*key, "w", F.lit(2).alias("kind"), "idx", "body", "head", "tokens", (F.col("role") == target).alias("loss"))
