@@ -158,16 +158,28 @@ class Triggered:
     flags: str
     offset: patterns.Offset
 
-    def offsets(self, text: Column, counts: list[Column], exe: Column | None = None) -> Column:
-        """Offsets of hits. With g all that follow one another without overlap, else the first.
-
-        At an exact offset the regex is anchored unless r; with a window hits must begin in it, and with e they must end in it as well.
-        """
+    def body(self) -> str:
+        """The expression with its flags, as Java has it."""
         inline = "".join(f for f in self.flags if f in "ismx")
         body = re.sub(r"(?<!\\)((?:\\\\)*)\$", lambda m: m[1] + (r"\z" if "E" in self.flags else r"(?=\n?\z)"), self.regex) if "m" not in self.flags else self.regex
         if "U" in self.flags:
             body = re.sub(r"(?<!\\)([*+?}])(?![?+*])", r"\1?", body)
         body = f"(?{inline}:{body})" if inline else f"(?:{body})"
+        return body
+
+    def count(self, text: Column, counts: list[Column], exe: Column | None = None) -> Column:
+        """How many hits count; without an offset rule they aren't located."""
+        if self.offset.kind != "any" or "A" in self.flags:
+            return F.size(self.offsets(text, counts, exe))
+        n = F.regexp_count(text, F.lit(self.body())) if "g" in self.flags else F.when(text.rlike(self.body()), 1).otherwise(0)
+        return F.coalesce(F.when(to_column(self.trigger, counts), n), F.lit(0))
+
+    def offsets(self, text: Column, counts: list[Column], exe: Column | None = None) -> Column:
+        """Offsets of hits. With g all that follow one another without overlap, else the first.
+
+        At an exact offset the regex is anchored unless r; with a window hits must begin in it, and with e they must end in it as well.
+        """
+        body = self.body()
         none = F.array().cast("array<bigint>")
         bounds = self.offset.bounds(F.length(text), exe)
         lo = F.lit(0).cast("long") if bounds is None else bounds[0]
@@ -285,11 +297,21 @@ class Logical:
         return found
 
     def fires(self, text: Column, **where: object) -> Column:
-        """The expression over the counts of all sub-signatures; a sub-signature that only has to occur is not located."""
+        """The expression over the counts of all sub-signatures. What only has to occur is not counted, and what nothing refers to is counted without being located."""
         if all(isinstance(s, Body) and s.offset.kind == "any" for s in self.subs) and not _counted(self.logic):
             counts = [F.when(patterns.occurs(text, s.pattern), F.lit(1)).otherwise(0).cast("long") for s in self.subs]
-        else:
+        elif any(isinstance(s, (ByteCompare, Macro)) for s in self.subs):
             counts = [F.size(o).cast("long") for o in self.offsets(text, **where)]
+        else:
+            counts, exe, image = [], where.get("exe"), where.get("image_hash")
+            for s in self.subs:
+                if isinstance(s, Body):
+                    n = patterns.count(text, s.pattern) if s.offset.kind == "any" else F.size(patterns.hits(text, s.pattern, s.offset, exe=exe))
+                elif isinstance(s, Triggered):
+                    n = s.count(text, counts, exe)
+                else:
+                    n = F.when(image == s.digest, 1).otherwise(0) if image is not None else F.lit(0)
+                counts.append(n.cast("long"))
         return F.coalesce(to_column(self.logic, counts), F.lit(False))
 
     def admits(self, obj: Column) -> Column:

@@ -228,9 +228,21 @@ def hits(text: Column, pattern: Compiled, offset: Offset = Offset("any"), size:
         if re.match(r"\(\?<", pattern.regex):  # the edge looks at what lies before
             return F.filter(raw.match_offsets(text, pattern.regex), lambda o: o == lo)
         return F.when((lo >= 0) & (lo < size) & looks, F.array(lo.cast("long"))).otherwise(none)
+    if pattern.literal is not None and offset.kind != "whole":  # only the window is searched
+        part = F.substring(text, (lo + 1).cast("int"), F.lit(offset.width + len(pattern.literal) // 2))
+        return F.coalesce(F.when(lo >= 0, F.transform(raw.match_offsets(part, pattern.regex), lambda o: o + lo)), none)
     return F.coalesce(F.filter(raw.match_offsets(text, pattern.regex), lambda o: o.between(lo, hi)), none)
 
 
+def count(text: Column, pattern: Compiled) -> Column:
+    """At how many offsets the pattern matches. Plain bytes that can't overlap themselves are counted by what is left without them."""
+    code = pattern.literal
+    if code is not None and not any(code.startswith(code[k:]) for k in range(2, len(code), 2)):
+        needle = bytes.fromhex(code).decode("latin-1")
+        return (F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)
+    return raw.match_count(text, pattern.regex)
+
+
 def occurs(text: Column, pattern: Compiled) -> Column:
     """Does the pattern match anywhere? Plain bytes need no regular expression."""
     if pattern.literal is not None:

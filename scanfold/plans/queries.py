@@ -161,7 +161,7 @@ def body_contains(s, d):
     return t(s, d, "documents").join(match.small(t(s, d, "benchmark").select("item_id", F.col("text").alias("needle"))), F.col("text").contains(F.col("needle"))).select("doc_id", "item_id")
 
 
-@query("SELECT doc_id, 'Lit' AS name, CAST(len(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 3) = 'the')) AS BIGINT) AS hits FROM documents WHERE contains(text, 'the')")
+@query("SELECT doc_id, 'Lit' AS name, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS hits FROM documents WHERE contains(text, 'the')")
 def body_literal(s, d):
     return _bodies(s, d, ("Lit", "*", "746865", ""))
 
@@ -201,7 +201,8 @@ def subsig_count_overlap(s, d):
 
 # Logical signatures
 
-COUNT = "CAST(len(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, {n}) = '{s}')) AS BIGINT)"
+#: None of these words overlaps itself.
+COUNT = "CAST((length(text) - length(replace(text, '{s}', ''))) // {n} AS BIGINT)"
 _C = [COUNT.format(n=len(x), s=x) for x in ("the", "and", "password", "que")]
 
 
@@ -238,7 +239,7 @@ def pcre_trigger(s, d):
 
 
 @query("""
-WITH c AS (SELECT doc_id, regexp_matches(text, '(?i)password') AS p, CAST(len(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 3) = 'the')) AS BIGINT) AS n, strlen(text) AS size FROM documents)
+WITH c AS (SELECT doc_id, regexp_matches(text, '(?i)password') AS p, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n, strlen(text) AS size FROM documents)
 SELECT doc_id, 'creds' AS name FROM c WHERE p AND size > 100 UNION ALL SELECT doc_id, 'thes' FROM c WHERE n > 10 AND NOT p""")
 def text_rules(s, d):
     source = """
