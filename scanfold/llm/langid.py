@@ -42,6 +42,10 @@ class Profiler:
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """texts x dims sums of n-gram vectors, and which texts have a letter."""
+        return self.profile(texts)[:2]
+
+    def profile(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``bundle``, and each text's size class: the binary logarithm of how many n-grams, equally frequent, would say as much."""
         lows = [(t or "").lower() for t in texts]
         codes = np.frombuffer("".join(f"\n{t}\n" for t in lows).encode("utf-32-le", "surrogatepass"), np.uint32)
         found, at = np.unique(codes, return_inverse=True)
@@ -54,10 +58,10 @@ class Profiler:
         keep = np.ones(len(ids), bool)
         keep[1:] = (ids[1:] > 0) | (ids[:-1] > 0) | (doc[1:] != doc[:-1])
         ids, doc = ids[keep], doc[keep]
-        out = np.zeros((len(texts), self.dims), np.float32)
+        out, size = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), np.int64)
         has = np.bincount(doc[ids > 0], minlength=len(texts)) > 0
         if len(ids) < self.n:
-            return out, has
+            return out, has, size
         width = len(own)
         gram = ids[: len(ids) - self.n + 1].astype(np.int64)
         for k in range(1, self.n):
@@ -71,7 +75,7 @@ class Profiler:
         gram, of = gram[same], doc[: len(same)][same]
         grams, index = np.unique(gram, return_inverse=True) if width**self.n > 1 << 21 else _dense(gram, width**self.n)
         if not len(grams):
-            return out, has
+            return out, has, size
         table = np.stack([self._vector(c) for c in own])
         bound = np.ones((len(grams), self.dims), np.int8)
         rest = grams.copy()
@@ -79,7 +83,9 @@ class Profiler:
             bound *= np.roll(table, k, axis=1)[rest % width]
             rest //= width
         counts = np.bincount(of * len(grams) + index, minlength=len(texts) * len(grams)).reshape(len(texts), -1)
-        return counts.astype(np.float32) @ bound.astype(np.float32), has
+        own = counts.astype(np.float64)
+        alike = own.sum(axis=1) ** 2 / np.maximum((own * own).sum(axis=1), 1)
+        return counts.astype(np.float32) @ bound.astype(np.float32), has, np.log2(np.maximum(alike, 1)).astype(np.int64)
 
 
 def _dense(gram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +108,22 @@ def _batched(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
 
 
 class LanguageModel:
-    """Prototypes of languages; each is the bundle of the unit vectors of its documents."""
+    """Prototypes of languages; each is the bundle of the unit vectors of its documents.
+
+    ``limits``: the least score of a text of each label, by size class; a class without a row has that of the next smaller one.
+    """
 
-    def __init__(self, labels: list[str], prototypes: np.ndarray, dims: int, n: int):
-        self.labels, self.prototypes, self.dims, self.n = labels, prototypes, dims, n
+    def __init__(self, labels: list[str], prototypes: np.ndarray, dims: int, n: int, limits: np.ndarray | None = None):
+        self.labels, self.prototypes, self.dims, self.n, self.limits = labels, prototypes, dims, n, limits
 
     @classmethod
-    def fit(cls, docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", per_label: int = 2000, dims: int = 1024, n: int = 3) -> LanguageModel:
+    def fit(cls, docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", per_label: int = 2000, dims: int = 1024, n: int = 3, limits: bool = False) -> LanguageModel:
         """Learn from about ``per_label`` rows of each label at most, chosen by a hash of the text.
 
         Rows with a null label or text teach nothing. The driver gets a count and one prototype for each label and
-        for each of 16 tasks at most.
+        for each of 16 tasks at most. With ``limits`` the same rows are judged once more, each by the others of its
+        label; three quarters of the score that 99 % of a label's rows of one size class reach is the least for that
+        class, and no least is below three standard deviations of the score of texts that share no n-gram.
         """
         work = common.with_small_batches(docs).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
         sizes = {r["lang"]: r["count"] for r in docs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("lang")).count().collect()}
@@ -135,13 +146,40 @@ class LanguageModel:
             totals[r["lang"]] = totals.get(r["lang"], 0) + np.array(r["sums"], np.int64)
         labels = sorted(totals)
         stacked = np.stack([totals[x] for x in labels]).astype(np.float64) if labels else np.zeros((0, dims))
-        return cls(labels, _units(stacked).astype(np.float32), dims, n)
+        model = cls(labels, _units(stacked).astype(np.float32), dims, n)
+        if limits:
+            model.limits = cls._limits(sample, labels, totals, dims, n)
+        return model
+
+    @staticmethod
+    def _limits(sample: DataFrame, labels: list[str], totals: dict[str, np.ndarray], dims: int, n: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            profiler = Profiler(dims, n)
+            for batch in _batched(batches, "text"):
+                bundles, has, size = profiler.profile(batch.column("text").to_pylist())
+                units, own = _units(bundles).astype(np.float64), np.array(batch.column("lang").to_pylist(), object)
+                others = _units(np.stack([totals[x] if ok else np.zeros(dims) for x, ok in zip(own, has, strict=True)]) - np.round(units * 2**24))
+                score = (units * others).sum(axis=1)
+                keep = has & others.any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep], pa.string()), pa.array(size[keep], pa.int64()), pa.array(score[keep], pa.float64())], names=["lang", "size", "score"])
+
+        found = sample.mapInArrow(run, "lang string, size long, score double").groupBy("lang", "size").agg(F.percentile("score", F.lit(0.01)).alias("low")).collect()
+        least = 3 / np.sqrt(dims)
+        out = np.full((len(labels), 64), np.nan)
+        for r in found:
+            out[labels.index(r["lang"]), r["size"]] = max(least, 0.75 * r["low"])
+        for row in out:
+            known = np.flatnonzero(~np.isnan(row))
+            row[:] = row[known[np.maximum(np.searchsorted(known, np.arange(64), "right") - 1, 0)]] if len(known) else least
+        return out
 
     def judge(self, profiler: Profiler, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text, and the cosine with its prototype, from 0 to 1."""
-        bundles, has = profiler.bundle(texts)
+        return self._judged(*profiler.bundle(texts))
+
+    def _judged(self, bundles: np.ndarray, has: np.ndarray) -> tuple[list[str], list[float]]:
         if not self.labels:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(has), [0.0] * len(has)
         cosines = np.clip(_units(bundles) @ self.prototypes.T, 0, 1)
         best = cosines.argmax(axis=1)
         return [self.labels[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], [float(c[b]) if h else 0.0 for c, b, h in zip(cosines, best, has, strict=True)]
@@ -163,14 +201,17 @@ class LanguageModel:
 
         return work.mapInArrow(run, f"doc_id {work.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
-    def kept(self, docs: DataFrame, *, text_col: str = "text", least: float = 0.0) -> DataFrame:
-        """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
-        own = self
+    def kept(self, docs: DataFrame, *, text_col: str = "text", least: float | None = 0.0) -> DataFrame:
+        """The rows, with all their columns, whose language is known with a score of ``least`` or more; None: with the model's ``limits``."""
+        own, place = self, {x: k for k, x in enumerate(self.labels)}
+        if least is None and self.labels and self.limits is None:
+            raise ValueError("the model was fitted without limits")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             profiler = Profiler(own.dims, own.n)
             for batch in _batched(batches, text_col):
-                labels, scores = own.judge(profiler, batch.column(text_col).to_pylist())
-                yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(labels, scores, strict=True)], pa.bool_()))
+                bundles, has, size = profiler.profile(batch.column(text_col).to_pylist())
+                labels, scores = own._judged(bundles, has)
+                yield batch.filter(pa.array([bool(ok) and x in place and s >= (own.limits[place[x], k] if least is None else least) for x, s, k, ok in zip(labels, scores, size, has, strict=True)], pa.bool_()))
 
         return common.with_small_batches(docs).mapInArrow(run, docs.schema)

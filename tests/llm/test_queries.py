@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from scanfold.llm import neardup, queries, secrets
+from scanfold.llm import langid, neardup, queries, secrets
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -70,6 +70,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, FOLDER).count() == seen["packing"].count() and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_language_stage_drops_unlearned_texts(spark):
+    r = random.Random(11)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    words = "minä sinä hän olen talo järvi kaunis päivä yö metsä ihminen kirja lukea kirjoittaa sataa lumi syksy kevät tänään huomenna ystävä koulu työ ja mutta sillä koska vaikka kun niin kuin myös".split()
+    planted = [" ".join(r.choices(words, k=n)) for n in (40, 80, 200) * 10]
+    planted += ["".join(r.choice(letters) for _ in range(n)) for letters in ("αβγδεζηθικλμνξοπρστυφχψω   ", "abcdefghijklmnopqrstuvwxyz   ") for n in (200, 600, 3000) * 10]
+    extra = spark.createDataFrame([(10**6 + k, x, None, "s", len(x)) for k, x in enumerate(planted)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(extra), FOLDER)
+    assert kept.where("doc_id >= 1000000").count() == 0
+    assert kept.count() >= 0.98 * docs.count()
+    spanish = docs.where("lang = 'es'")
+    model = langid.LanguageModel.fit(docs.where("lang <> 'es'"), limits=True)
+    assert model.kept(spanish, least=None).count() <= 0.1 * spanish.count()
+
+
 def test_digests_against_libraries(spark):
     import hashlib
     import struct
