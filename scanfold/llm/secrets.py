@@ -65,14 +65,16 @@ def ownership(table: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def judged(table: DataFrame, *, max_owners: int, max_repositories: int) -> DataFrame:
+def judged(table: DataFrame, *, max_owners: int, max_repositories: int | None) -> DataFrame:
     """(row, spans): the base spans of each row that has candidates, and the added ones; each says whether it looks live.
 
-    A candidate is live if at most ``max_owners`` owners and ``max_repositories`` repositories hold it; what more of
-    them share is an example. Long tokens of mixed letters and digits that no base kind needs are added only where live.
+    A candidate is live if at most ``max_owners`` owners hold it, in however many of their documents, and, where a number is given,
+    at most ``max_repositories`` repositories; what more of them share is an example. Long tokens of mixed letters and digits that no base kind needs are added only where live.
     """
     each = table.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).select("row", "s.*")
-    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    live = F.col("n_owners") <= max_owners
+    if max_repositories is not None:
+        live &= F.col("n_repositories") <= max_repositories
     known = each.join(ownership(table), "hash").withColumn("live", live).where(F.col("live") | (F.col("kind") < BASE))
     return known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
 
@@ -82,7 +84,7 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """Secrets of every whole text: id, spans as structs of start, kind, end and live, ordered by start and kind.
 
     Base kinds: ``assign``, ``access``, ``hex``; what the method adds has the kind ``owned``. Offsets are code points.
@@ -107,7 +109,7 @@ def digests(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", mask: str = "<SECRET>", max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
+def redacted(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", mask: str = "<SECRET>", max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """The rows and columns of ``docs``, each live-looking credential replaced by ``mask``; examples that many share stay."""
     names = tuple(docs.columns)
     table = candidates(docs, owner=F.col(owner_col).cast("string"), repository=F.col(repository_col).cast("string"), text_col=text_col, keep=names)

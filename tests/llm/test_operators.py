@@ -323,6 +323,16 @@ def test_shared_examples_are_not_live(spark):
     assert masked == {**{k: f"x {copied}" for k in range(6)}, 9: f"x <SECRET> and {copied} é"}
 
 
+def test_one_owners_key_is_live_in_any_number_of_documents(spark):
+    key, copied = "Zx9Qw8Er7Ty6Ui5Op4As3", "token=" + "a1B2" * 6
+    data = [(k, f"conf {key} token={'z9Y8' * 6} {copied}", "hot") for k in range(40)] + [(100 + k, copied, f"s{k}") for k in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    live = {r["doc_id"]: [s["kind"] for s in r["spans"] if s["live"]] for r in secrets.scan(df).collect()}
+    assert all(live[k] == [3, 0, 3] for k in range(40)) and live[100] == []
+    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert all(key not in masked[k] and "z9Y8" not in masked[k] and copied in masked[k] for k in range(40)) and masked[100] == copied
+
+
 def test_prefix_sums(spark):
     data = [list(range(700)), [], [5]]
     got = [r[0] for r in spark.createDataFrame([(d,) for d in data], "x array<bigint>").select(native.sums_before(F.col("x"))).collect()]
