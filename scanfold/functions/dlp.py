@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .raw import byte_text, col
+from .raw import byte_text, col, match_offsets
 
 #: First six digits from, to; number of digits from, to; credit card. In ascending order, ranges don't overlap.
 ISSUERS = tuple(
@@ -17,7 +17,13 @@ ISSUERS = tuple(
     ).split()
 )
 BANKS = tuple(int(x) for part in ("1-4", "6", "10", "16", "30", "39", "117", "127", "177", "219", "260", "290", "308-309", "326", "338", "340", "509", "540", "614", "809", "815", "819", "828-829", "837", "839", "865", "879", "889", "899-900") for a, _, b in [part.partition("-")] for x in range(int(a), int(b or a) + 1))
-CARD = r"(?<![0-9])([0-6](?:[ -]{0,8}[0-9]){12,18})"
+#: A digit after none, from which a card number may go on, and the longest head of what follows that can be one.
+CARD = r"(?<![0-9])[0-6](?:[ -]{0,8}[0-9]){12}"
+HEAD = r"\A[0-9](?:[ -]{0,8}[0-9]){0,%d}"
+#: Up to eight breaks; the ninth ends a number.
+BROKEN = r"\A[0-9](?:(?:[0-9]*[ -]){0,8}[0-9]+)?"
+#: After a card number the next one may start this many bytes past its start.
+APART = 16
 SSN = r"(?<![0-9])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])"
 STRIPPED = r"(?<![0-9])([0-9]{9})(?![0-9])"
 
@@ -37,18 +43,47 @@ def issuer(digits: Column | str, credit_only: bool = False) -> Column:
     return found
 
 
+def _read(candidates: Column, credit_only: bool) -> Column:
+    """Of structs of place and bytes those at whose start a card number stands, with its digits, read up to its issuer's greatest length.
+
+    Each step is a transform, so that no expression stands twice in a later one.
+    """
+    plain = lambda c: F.regexp_replace(c, "[ -]", "")
+    cut = lambda c, most: F.regexp_extract(c, HEAD % (most - 1), 0)
+    x = F.transform(candidates, lambda h: F.struct(h["at"].alias("at"), h["c"].alias("c"), plain(cut(h["c"], 6)).alias("six")))
+    x = F.transform(x, lambda h: F.struct(h["at"].alias("at"), h["c"].alias("c"), issuer(h["six"], credit_only).alias("own")))
+    x = F.filter(x, lambda h: h["own"].isNotNull())
+    mosts = sorted({row[3] for row in ISSUERS})
+
+    def run(h: Column) -> Column:
+        longest = cut(h["c"], mosts[-1])
+        for most in mosts[:-1]:
+            longest = F.when(h["own"]["most"] == most, cut(h["c"], most)).otherwise(longest)
+        return F.regexp_extract(longest, BROKEN, 0)
+
+    x = F.transform(x, lambda h: F.struct(h["at"].alias("at"), h["c"].alias("c"), h["own"]["least"].alias("least"), run(h).alias("run")))
+    x = F.transform(x, lambda h: F.struct(h["at"].alias("at"), h["least"].alias("least"), plain(h["run"]).alias("digits"), h["c"].substr(F.length(h["run"]) + 1, F.lit(1)).alias("next")))
+    return F.filter(x, lambda h: (F.length(h["digits"]) >= h["least"]) & ~h["next"].rlike("[0-9]") & luhn(h["digits"]))
+
+
 def valid_card(candidate: Column | str, credit_only: bool = False) -> Column:
-    """Is this run of digits, with up to eight breaks of blank or hyphen, a card number? The longest admitted head is tested."""
-    digits = F.regexp_replace(col(candidate), "[ -]", "")
-    own = issuer(digits, credit_only)
-    n = F.length(digits)
-    return F.coalesce((n >= own["least"]) & (n <= own["most"]) & luhn(digits) & (F.length(col(candidate)) - n <= 8), F.lit(False))
+    """Does a card number, with up to eight breaks of blank or hyphen, start here? The longest head that the issuer admits is tested."""
+    c = F.coalesce(col(candidate), F.lit(""))
+    return F.size(_read(F.array(F.struct(F.lit(0).cast("long").alias("at"), c.alias("c"))), credit_only)) > 0
 
 
 def cards(content: Column | str, credit_only: bool = False) -> Column:
-    """All card numbers of a text, digits only."""
-    runs = F.regexp_extract_all(byte_text(content), F.lit(CARD + r"(?![0-9])"), F.lit(1))
-    return F.transform(F.filter(runs, lambda c: valid_card(c, credit_only)), lambda c: F.regexp_replace(c, "[ -]", ""))
+    """All card numbers of a text, digits only: looked for at every digit that follows none."""
+    text = byte_text(content)
+    starts = F.regexp_extract_all(text, F.lit(f"(?={CARD})(?=([0-9 -]{{1,27}}))"), F.lit(1))
+    found = F.zip_with(match_offsets(text, CARD), starts, lambda at, c: F.struct(at.alias("at"), c.alias("c")))
+    return _apart(_read(found, credit_only))
+
+
+def _apart(hits: Column) -> Column:
+    none = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<string>").alias("found"))
+    add = lambda acc, h: F.when(h["at"] < acc["next"], acc).otherwise(F.struct((h["at"] + APART).alias("next"), F.concat(acc["found"], F.array(h["digits"])).alias("found")))
+    return F.aggregate(hits, none, add, lambda acc: acc["found"])
 
 
 def valid_ssn(number: Column | str) -> Column:

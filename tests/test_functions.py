@@ -1,6 +1,7 @@
 """Scalar functions against Python."""
 
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -57,6 +58,40 @@ def test_cards(spark):
     assert one(spark, "", dlp.cards) == [] and one(spark, "4111111111111111 " * 2000, lambda c: F.size(dlp.cards(c))) == 2000
 
 
+def cards_read(b):
+    """The rule as a loop: from every digit after none, up to the issuer's greatest length; after a card 16 bytes on."""
+    out, i = [], 0
+    while i < len(b):
+        if b[i].isdigit() and not b[i - 1 : i].isdigit():
+            d, breaks, j, own = "", 0, i, None
+            while j < len(b) and not (own and len(d) >= own[3]) and not (len(d) == 6 and not own):
+                if b[j].isdigit():
+                    d += b[j]
+                    own = next((r for r in dlp.ISSUERS if r[0] <= int(d) <= r[1]), None) if len(d) == 6 else own
+                elif b[j] in " -" and breaks < 8:
+                    breaks += 1
+                else:
+                    break
+                j += 1
+            if b[i] <= "6" and own and len(d) >= own[2] and not b[j : j + 1].isdigit() and luhn(d):
+                out.append(d)
+                i += 15
+        i += 1
+    return out
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111111111111111"
+    for text in (f"{card} 12/27", "4111 1111 1111 1111 123", "1 4111-1111-1111-1111", f"7 {card}", f"{card}-{card}"):
+        assert set(one(spark, text, dlp.cards)) == {card}, text
+    assert one(spark, f"{card}1 9{card} 4 1 1 1 1 1 1 1 1 1 111111", dlp.cards) == []
+    r = random.Random(8)
+    known = [card, "5500000000000004", "378282246310005", "30569309025904"]
+    for _ in range(4):
+        text = "".join(r.choice([*known, *known, " ", " ", "-", "  ", "/", "x", "12", "7", "4111 1111 1111 1111", "3782-822463-10005", "4-1-1-1-1-1-1-1-1111 1111", "é"]) for _ in range(600))
+        assert one(spark, text, dlp.cards) == cards_read(text.encode().decode("latin-1").replace("\xb2", "x")), text
+
+
 def test_numbers(spark):
     assert one(spark, "123-45-6789 666-12-3456 000-11-1111 773-11-1111 x123456789", lambda c: dlp.ssns(c, True, True)) == ["123-45-6789", "123456789"]
     assert one(spark, "1 123-45-6789 123-45-6780 123-45-6781", dlp.alerts) == ["Heuristics.Structured.SSN"]
