@@ -18,10 +18,14 @@ _own: dict[str, str | None] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    A temporary folder of this machine is used only where the setting is absent, as in local tests.
+    A temporary folder of this machine is used only where the setting is absent and the master is local, as in tests;
+    on a cluster each executor would write to its own disk, so there the absent setting is an error.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors of {master} share")
         found = _own.setdefault(spark.sparkContext.applicationId, None) or f"file://{tempfile.mkdtemp(prefix='scanfold-shared-')}"
         _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
@@ -32,22 +36,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    The table is deleted when the driver's JVM ends, unless it is to be kept; :func:`dropped` deletes it before.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
+    if not keep:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)
     back._scanfold_path = path
     return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no later step reads."""
-    if path := getattr(df, "_scanfold_path", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_scanfold_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def joined_on_hot(rows: DataFrame, table: DataFrame, key: list[str], *, hot: int = 10_000, most: int = 50_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each of ``key`` once and in ``n`` how many of ``rows`` hold it.
+
+    Rows of keys that over ``hot`` rows hold aren't shuffled to one task: there can't be more such keys than rows / ``hot``, and while
+    they are ``most`` at most, they are broadcast; beyond that, the join is left to the adaptive split of skewed partitions.
+    ``table`` should be a written table, as it is read more than once; its ``n`` isn't returned.
+    """
+    from pyspark.sql import functions as F
+
+    warm = table.where(F.col("n") > hot)
+    many = warm.limit(most + 1).count()
+    table = table.drop("n")
+    if not 0 < many <= most:
+        return rows.join(table, key)
+    cold = rows.join(F.broadcast(warm.select(*key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(warm.drop("n")), key).unionByName(cold)
 
 
 def with_small_batches(df: DataFrame) -> DataFrame:
@@ -120,23 +149,31 @@ class ChunkTable:
     """Distinct-chunk table: every distinct chunk is segmented once, ids are joined back by position.
 
     ``encode`` maps a list of distinct chunks to a list of id arrays. The table is emptied when it holds
-    ``limit`` chunks, so its memory is bounded however many distinct chunks a partition has.
+    ``limit`` chunks or about ``most`` bytes, so its memory is bounded however many distinct chunks a partition has
+    and however long they are; a chunk of over ``longest`` characters isn't kept at all.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 300_000, most: int = 96 << 20, longest: int = 1024):
+        self.encode, self.limit, self.most, self.longest = encode, limit, most, longest
         self.known: dict[str, np.ndarray] = {}
+        self.size = 0
 
     def look_up(self, chunks: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[str]]:
         """The number of the distinct chunk at each position, the ids of each distinct chunk, and these chunks."""
         coded = chunks.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > self.limit:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.known.update(zip(new, self.encode(new), strict=True))
-        return coded.indices.to_numpy(), [self.known[w] for w in words], words
+        if len(self.known) + len(words) > self.limit or self.size > self.most:
+            self.known, self.size = {}, 0
+        known = self.known
+        new = [w for w in words if w not in known]
+        if not new:
+            return coded.indices.to_numpy(), [known[w] for w in words], words
+        own = dict(zip(new, self.encode(new), strict=True))
+        found = [known[w] if w in known else own[w] for w in words]
+        kept = {w: x for w, x in own.items() if len(w) <= self.longest}
+        self.size += sum(map(len, kept)) * 5 + 200 * len(kept)
+        known.update(kept)
+        return coded.indices.to_numpy(), found, words
 
 
 def chunked(texts: pa.Array, marks: bytes) -> tuple[pa.Array, np.ndarray]:
