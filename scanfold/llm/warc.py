@@ -17,11 +17,22 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from . import common
 
 FORMAT = "scanfold_warc"
-SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, content_type string, content_length long, payload binary"
+SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, profile string, content_type string, payload_length string, content_length long, payload binary"
 #: Columns that are read from a named header, and may be filtered by it before a payload is decoded.
-HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "content_type": "content-type"}
+HEADERS = {
+    "record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to",
+    "profile": "warc-profile", "content_type": "content-type", "payload_length": "x-payload-length",
+}
+#: How each column's header is written.
+WRITTEN_AS = {
+    "record_type": "WARC-Type", "record_id": "WARC-Record-ID", "warc_date": "WARC-Date", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To",
+    "profile": "WARC-Profile", "content_type": "Content-Type", "payload_length": "X-Payload-Length",
+}
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_manifest"
 SPLIT = 64 << 20
+#: A task begins another file when one has so many bytes, so that no file is one reader's burden.
+ROLL = 256 << 20
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -150,8 +161,21 @@ class FilePart(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
-    size: int
+    files: tuple[tuple[str, int], ...]
+
+
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The manifests of a folder, one of each write that was committed."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in found if i.type == pafs.FileType.File and i.base_name.startswith(MANIFEST))
+
+
+def _listed(fs: pafs.FileSystem, root: str, manifests: list[str]) -> dict[str, int]:
+    found = {}
+    for m in manifests:
+        with fs.open_input_stream(m) as f:
+            found |= {f"{root}/{n}": int(s) for s, n in (x.split(" ", 1) for x in f.read().decode().splitlines())}
+    return found
 
 
 class WarcReader(DataSourceReader):
@@ -171,11 +195,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, root = _fs(self.path)
-        listed = {i.path: i.size for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File}
-        manifest = f"{root}/{MANIFEST}"
-        if manifest in listed:  # an archive that the writer finished: nothing of failed tasks is read
-            with fs.open_input_stream(manifest) as f:
-                listed = {f"{root}/{n}": int(s) for s, n in (x.split(" ", 1) for x in f.read().decode().splitlines())}
+        manifests = _manifests(fs, root)
+        if manifests:  # the writer's archives: what its writes committed, and nothing of failed tasks
+            listed = _listed(fs, root, manifests)
+        else:
+            listed = {i.path: i.size for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File}
         parts, held, size = [], [], 0
         for p, n in sorted(listed.items()):
             if not p.endswith((".warc", ".warc.gz")):
@@ -216,37 +240,55 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task attempt writes files of its own name; commit lists those of the attempts that count."""
+    """Each task attempt writes files of its own names; a commit lists those of the attempts that count in a manifest of its own.
+
+    An append adds a manifest beside the earlier ones; an overwrite removes those, and then the files they list.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path = options["path"]
+        self.path, self.overwrite, self.roll = options["path"], overwrite, int(options.get("roll", ROLL))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        path = f"{root}/part-{uuid.uuid4().hex}.warc.gz"
-        with fs.open_output_stream(path, compression=None) as out:
+        files: list[tuple[str, int]] = []
+        out, name = None, ""
+        try:
             for batch in iterator:
                 names = batch.schema.names
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     r = dict(zip(names, row, strict=True))
-                    payload = r.get("payload") or b""
-                    headers = {"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r.get("warc_date"), "WARC-Target-URI": r.get("target_uri"), "WARC-Payload-Digest": r.get("payload_digest"), "WARC-Refers-To": r.get("refers_to"), "Content-Type": r.get("content_type")}
-                    out.write(record({k: v.replace("\r", " ").replace("\n", " ") if v else v for k, v in headers.items()}, payload))
-            size = out.tell()
-        return Written(path.rsplit("/", 1)[1], size)
+                    headers = {h: r[c].replace("\r", " ").replace("\n", " ") for c, h in WRITTEN_AS.items() if r.get(c)}
+                    if out is None:
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    out.write(record(headers, r.get("payload") or b""))
+                    if out.tell() >= self.roll:
+                        files.append((name, out.tell()))
+                        out.close()
+                        out = None
+            if out is not None:
+                files.append((name, out.tell()))
+        finally:
+            if out is not None:
+                out.close()
+        return Written(tuple(files))
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write("".join(f"{m.size} {m.path}\n" for m in messages if m).encode())
+        before = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}", compression=None) as out:
+            out.write("".join(f"{size} {name}\n" for m in messages if m for name, size in m.files).encode())
+        gone = _listed(fs, root, before)
+        for path in [*before, *gone]:
+            fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _fs(self.path)
         for m in messages:
-            if m:
-                fs.delete_file(f"{root}/{m.path}")
+            for name, _ in m.files if m else ():
+                fs.delete_file(f"{root}/{name}")
 
 
 class WarcSource(DataSource):
@@ -270,29 +312,45 @@ class WarcSource(DataSource):
         return WarcWriter(dict(self.options), overwrite)
 
 
-def archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, salts: int = 16) -> None:
-    """Write a record for each page to ``path``.
+def archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, most: int = 300_000, salts: int = 16) -> None:
+    """Write a record for each page to ``path``, beside what is there.
 
     Of payloads of at least ``least`` bytes that occur more than once, the page with the smallest id is the
     response and the others revisits of it; a revisit stores the full payload's digest and length, not its bytes
-    again. Only digests that repeat are joined back to the pages, salted, so a payload that many pages share burdens no task.
+    again. Digests are aggregated without payloads, and only repeating ones are kept. While those are ``most`` at
+    most (some 40 MB), they are broadcast, so no payload is shuffled; beyond that they are joined by shuffle, salted,
+    so that a payload that many pages share burdens no task. Null and empty payloads, repeated rows and very long
+    texts are records like others; ids that repeat get record ids of their own, but for a response that revisits name.
     """
     payload = F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url") if url_col in pages.columns else F.lit(None).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     many = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    many = many.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = rows.join(many, ["digest", "salt"], "left")
+    many = common.written(many.select("digest", "first"), "repeats")
+    if many.limit(most + 1).count() <= most:
+        joined = rows.join(F.broadcast(many), "digest", "left")
+    else:
+        salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("first"))
-    uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    named = F.col("first").isNotNull() & (F.col("id") == F.col("first"))
+    own = F.when(named, F.lit("")).otherwise(F.concat(F.lit(":"), F.monotonically_increasing_id()))
     out = joined.select(
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.coalesce(uri(F.col("id")), F.lit("<urn:page:>")).alias("record_id"), F.col("url").alias("target_uri"),
-        F.lit("1970-01-01T00:00:00Z").alias("warc_date"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.when(revisit, uri(F.col("first"))).alias("refers_to"),
-        F.concat(F.lit("text/html; length="), F.octet_length("payload").cast("string")).alias("content_type"), F.lit(None).cast("long").alias("content_length"),
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), own, F.lit(">")).alias("record_id"),
+        F.col("url").alias("target_uri"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("warc_date"),
+        F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
+        F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))).alias("refers_to"),
+        F.when(revisit, IDENTICAL).alias("profile"),
+        F.lit("text/html").alias("content_type"),
+        F.octet_length("payload").cast("string").alias("payload_length"),
+        F.lit(None).cast("long").alias("content_length"),
         F.when(~revisit, F.col("payload")).alias("payload"),
-    )
+    )
     pages.sparkSession.dataSource.register(WarcSource)
     out.write.format(FORMAT).mode("append").save(path)
+    common.dropped(many)
 
 
 def read_archive(spark, path: str) -> DataFrame:
@@ -312,10 +370,10 @@ def pages_through_archive(pages: DataFrame, *, id_col: str = "page_id", least: i
     path = common.new_path(pages.sparkSession, "warc")
     archive(pages, path, id_col=id_col, least=least)
     r = read_archive(pages.sparkSession, path)
-    page = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, r"page:(-?\d+)[:>]", 1).try_cast("long")
     full = F.col("record_type") == "revisit"
     return r.select(
-        page(F.col("record_id")).alias("page_id"), F.when(full, F.regexp_extract("content_type", r"length=(\d+)", 1).cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        page(F.col("record_id")).alias("page_id"), F.when(full, F.col("payload_length").cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(full, F.substring_index("payload_digest", ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"), "record_type", page(F.col("refers_to")).alias("refers_to"),
     )
 
