@@ -97,6 +97,15 @@ def _dense(gram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, place[gram].astype(np.int64)
 
 
+#: A label's share of rows to learn from is a whole number of such parts.
+SHARES = 2**62
+
+
+def sampling_steps(per_label: int, rows: int) -> int:
+    """How many of ``SHARES`` parts of a label's ``rows`` give about ``per_label`` of them; one at least."""
+    return SHARES if rows <= per_label else max(1, per_label * SHARES // rows)
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -117,20 +126,30 @@ class LanguageModel:
         self.labels, self.prototypes, self.dims, self.n, self.limits = labels, prototypes, dims, n, limits
 
     @classmethod
-    def fit(cls, docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", per_label: int = 2000, dims: int = 1024, n: int = 3, limits: bool = False) -> LanguageModel:
-        """Learn from about ``per_label`` rows of each label at most, chosen by a hash of the text.
+    def fit(
+        cls, docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = 2000, dims: int = 1024, n: int = 3, limits: bool = False, most_labels: int = 10_000
+    ) -> LanguageModel:
+        """Learn from about ``per_label`` rows of each label at most, chosen by a hash of the text and the id, if there is one.
+
+        A label's share is counted in steps of 2 ** -62 and is one step at least, so none is too large to be learned. More than
+        ``most_labels`` labels are an error: such a column names something else than languages.
 
         Rows with a null label or text teach nothing. The driver gets a count and one prototype for each label and
         for each of 16 tasks at most. With ``limits`` the same rows are judged once more, each by the others of its
         label; three quarters of the score that 99 % of a label's rows of one size class reach is the least for that
         class, and no least is below three standard deviations of the score of texts that share no n-gram.
         """
-        work = common.with_small_batches(docs).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-        sizes = {r["lang"]: r["count"] for r in docs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("lang")).count().collect()}
+        labelled = common.with_small_batches(docs).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+        own_id = F.col(id_col).cast("string") if id_col in docs.columns else F.lit(None).cast("string")
+        work = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), own_id.alias("id"))
+        rows = labelled.groupBy(F.col(label_col).cast("string").alias("lang")).count().limit(most_labels + 1).collect()
+        sizes = {r["lang"]: r["count"] for r in rows}
+        if len(sizes) > most_labels:
+            raise ValueError(f"{label_col} has more than {most_labels} labels")
         if not sizes:
             return cls([], np.zeros((0, dims), np.float32), dims, n)
-        share = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, int(min(1.0, per_label / v) * 2**20))))
-        sample = work.where(F.pmod(F.xxhash64("text"), F.lit(2**20)) < share[F.col("lang")]).repartition(16)
+        share = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, sampling_steps(per_label, v))))
+        sample = work.where(F.pmod(F.xxhash64("text", "id"), F.lit(SHARES)) < share[F.col("lang")]).drop("id").repartition(16)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             profiler, sums = Profiler(dims, n), {}
@@ -188,8 +207,8 @@ class LanguageModel:
         """(doc_id, lang_pred, score) for every row; only the text is looked at.
 
         A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing was learned.
-        Ties go to the label first in order. Null ids and repeated rows are judged row by row; other columns are
-        ignored; an empty table gives no rows.
+        Ties go to the label first in order. Null ids and repeated rows are judged row by row; very long texts are bundled
+        whole; other columns are ignored, whatever their names; an empty table gives no rows.
         """
         work, own = common.with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), self
 
@@ -202,7 +221,11 @@ class LanguageModel:
         return work.mapInArrow(run, f"doc_id {work.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
     def kept(self, docs: DataFrame, *, text_col: str = "text", least: float | None = 0.0) -> DataFrame:
-        """The rows, with all their columns, whose language is known with a score of ``least`` or more; None: with the model's ``limits``."""
+        """The rows, with all their columns, whose language is known with a score of ``least`` or more; None: with the model's ``limits``.
+
+        Rows without a text or a letter go; repeated rows are judged alike, row by row; ids and other columns are carried along;
+        very long texts are judged whole; an empty table stays empty, and a model that learned nothing keeps nothing.
+        """
         own, place = self, {x: k for k, x in enumerate(self.labels)}
         if least is None and self.labels and self.limits is None:
             raise ValueError("the model was fitted without limits")
