@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 
 class ImpactIndex:
     """Postings of a block of integer vectors.
@@ -88,51 +92,79 @@ class ImpactIndex:
         return at, self.vectors[at] @ q
 
 
-def top_k(vectors: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, scale: int = 256, block: int = 32768, query_block: int = 4096) -> DataFrame:
+def top_k(
+    vectors: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, scale: int = 256, block: int = 131_072, least: int = 4096
+) -> DataFrame:
     """The ``k`` best inner products of each query with all other rows: query_id, rank, vec_id, score.
 
-    Components become floor(``scale`` * x). Queries are the rows whose id is divisible by ``every``. Index blocks of
-    about ``block`` rows meet query blocks of about ``query_block`` rows, a task for each two; no side is broadcast,
-    and a block's answer is ``k`` rows for each query. Ties go to smaller ids. Vectors that are null, or hold a null
-    or non-finite component, and rows without an id take no part; a shorter vector counts as if zeros followed;
-    repeated ids are rows of their own, but none answers a query of its own id; other columns are ignored; an
-    empty table gives no rows.
+    Components become floor(``scale`` * x). Queries are the rows whose id is divisible by ``every``. The index is cut into
+    blocks of about ``block`` rows, or of ``least`` at least where more blocks are needed to keep every core busy. A block is one
+    task's: it builds its index once and streams all queries past it, a batch at a time, and answers each with ``k`` rows. No side is
+    broadcast, no task holds more than a block and a batch. Queries are copied to each block, so the work is exhaustive in blocks,
+    and within a block the index stops on proof.
+
+    Ties go to smaller ids. Vectors that are null, or hold a null or non-finite component, and rows without an id take no
+    part; a shorter vector counts as if zeros followed; repeated ids are rows of their own, but none answers a query of
+    its own id; scores that might not fit a long are an error; other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
     x = F.col(vector_col)
     # read as floats, components become exact doubles
     whole = F.transform(x.cast("array<double>"), lambda c: F.floor(c * scale).cast("long"))
     bad = F.exists(x.cast("array<double>"), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
-    total = vectors.count()
-    blocks, query_blocks = max(1, -(-total // block)), max(1, -(-total // every // query_block))
-    side = lambda n, seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).withColumn("qb", side(query_blocks, 1)).withColumn("cb", all_of(blocks))
-    index = rows.withColumn("cb", side(blocks, 2)).withColumn("qb", all_of(query_blocks))
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            dims = max(max(map(len, t.column("v").to_pylist())) for t in (left, right)) or 1
-            (own_ids, own), (ids, block_vectors) = _matrix(left, dims), _matrix(right, dims)
-            found = ImpactIndex(block_vectors)
-            for i, q in zip(own_ids, own, strict=True):
-                at, score = found.search(q, k, ids == i)
-                best = np.lexsort((ids[at], -score))[:k]
-                out += [(int(i), int(ids[at[b]]), int(score[b])) for b in best]
-        return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    near = queries.groupBy("cb", "qb").cogroup(index.groupBy("cb", "qb")).applyInArrow(run, "query_id long, vec_id long, score long")
+    total = rows.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-total // block), min(cores, total // least))
+    index = rows.select(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("cb"), F.lit(0).alias("kind"), "id", "v")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(each.alias("cb"), F.lit(1).alias("kind"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block: its vectors, then the queries."""
+        cb, held, index = None, [], None
+        for batch in batches:
+            block_of = batch.column("cb").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(block_of) != 0) | (np.diff(batch.column("kind").to_numpy()) != 0)) + 1).tolist(), batch.num_rows]
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if a == b:
+                    continue
+                if block_of[a] != cb:
+                    cb, held, index = block_of[a], [], None
+                if part.column("kind")[0].as_py() == 0:
+                    held.append(part)
+                elif held:
+                    if index is None:
+                        ids, own = _matrix(pa.Table.from_batches(held))
+                        index = ImpactIndex(own)
+                    for i, q in zip(*_matrix(pa.Table.from_batches([part]), own.shape[1]), strict=True):
+                        at, score = index.search(q, k, ids == i)
+                        best = np.lexsort((ids[at], -score))[:k]
+                        out.append((np.full(len(best), i), ids[at[best]], score[best]))
+            columns = [np.concatenate([np.zeros(0, np.int64), *(o[c] for o in out)]) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    laid = common.with_small_batches(index.unionByName(queries)).repartitionById(blocks, F.col("cb"))
+    near = laid.sortWithinPartitions("cb", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(t: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = t.column("id").to_numpy()
-    v = np.zeros((len(ids), dims), np.int64)
+def _matrix(t: pa.Table, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors in ascending order of ids; vectors are cut or filled with zeros to ``dims``, which the other side's zeros make good."""
+    lists = t.column("v").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ids, flat = t.column("id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+    at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes = np.diff(at)
+    width = dims or max(1, int(sizes.max(initial=1)))
+    v = np.zeros((len(ids), width), np.int64)
+    row, place = np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(at[:-1], sizes)
+    fits = place < width
+    v[row[fits], place[fits]] = flat[fits]
+    if len(v) and int(np.abs(v.astype(np.float64)).max()) ** 2 * width >= 2**60:
+        raise ValueError("components too large for scores of 64 bits")
     order = np.argsort(ids, kind="stable")
-    for r, x in enumerate(t.column("v").to_pylist()):
-        v[r, : len(x)] = x
     return ids[order], v[order]
-
-
