@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,11 +69,14 @@ class Packer:
 def tokenized(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and n + 1 offsets.
 
-    Neither normalisation nor the split pattern of these tokenizers crosses white space, so each distinct chunk
-    between white space is merged once.
+    Where the tokenizer is of the examined kind, neither normalisation nor the split pattern crosses white space, so each
+    distinct chunk between white space is merged once; another tokenizer gets whole texts.
     """
     if path not in _models:
         _models[path] = bpe.WordBPE(path)
+    if not _models[path].exact:
+        found = [np.array(e.ids, np.uint32) for e in _models[path].tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
     chunks, at = common.chunked(texts, WHITE)
     if not len(chunks):
         return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
@@ -122,7 +126,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     offset. Every id of a document, its end id included, lies in exactly one piece. Each partition keeps
     ``windows`` open windows; what is open at its end is merged over ``fan_in`` partitions at a time, until one
     sequence at most is not full. A null or empty text is the end id alone; null ids and repeated rows are
-    documents of their own; other columns are ignored, whatever their names; an empty table gives no rows.
+    documents of their own; a very long text is cut over as many sequences as it takes; other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     work = common.with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -139,30 +144,21 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         return _drain(Packer(capacity, windows, part << 28), sources(), part)
 
     table = common.written(work.mapInArrow(first, SCHEMA), "packed", compression="zstd")
-    done, rest = table.where("not leftover"), table.where("leftover")
+    done, rest, whole = table.where("not leftover"), table.where("leftover"), table
     parts, level = (table.agg(F.max("part")).first()[0] or 0) + 1, 0
     while level == 0 or parts > 1:
         parts, level = -(-parts // fan_in), level + 1
 
         def merge(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
-            """Rows come in order of their group; each group fills one window after another."""
-            packer, part = None, None
-
-            def sources(held: list[dict]) -> Iterator[tuple]:
-                for r in held:
-                    yield (r["doc_id"], r["doc_tokens"]), r["start"], np.frombuffer(r["ids"], np.uint32)
-
-            held: list[dict] = []
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if r["part"] != part:
-                        if held:
-                            yield from _drain(packer, sources(held), part)
-                        held, part = [], r["part"]
-                        packer = Packer(capacity, 1, level << 56 | part << 28)
-                    held.append(r)
-            if held:
-                yield from _drain(packer, sources(held), part)
+            """Rows come in order of their group; each group fills one window after another, and only that window is held."""
+
+            def pieces() -> Iterator[tuple]:
+                for batch in batches:
+                    yield from zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "doc_tokens", "start", "ids")), strict=True)
+
+            for part, group in itertools.groupby(pieces(), key=lambda r: r[0]):
+                sources = (((doc, total), start, np.frombuffer(ids, np.uint32)) for _, doc, total, start, ids in group)
+                yield from _drain(Packer(capacity, 1, level << 56 | part << 28), sources, part)
 
         grouped = rest.withColumn("part", F.floor(F.col("part") / fan_in).cast("long"))
         merged = grouped.repartition(min(parts, 4096), "part").sortWithinPartitions("part", "sequence_id", "offset")
