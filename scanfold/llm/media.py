@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -59,23 +58,36 @@ def unfiltered(data: np.ndarray, bpp: int = 1) -> np.ndarray:
         elif kind == 1:
             for k in range(bpp):
                 rows[y, k::bpp] = np.cumsum(rows[y, k::bpp], dtype=np.uint8)
-        elif kind in (3, 4):
-            row = rows[y]
-            for k in range(0, len(row), bpp):
-                a, b = (row[k - bpp : k] if k else np.zeros(bpp, np.uint8)), prior[k : k + bpp]
-                c = prior[k - bpp : k] if k else np.zeros(bpp, np.uint8)
-                row[k : k + bpp] += ((a.astype(np.uint16) + b) >> 1).astype(np.uint8)[: len(row[k : k + bpp])] if kind == 3 else _paeth(a, b, c)
+        elif kind == 3:
+            row, up = bytearray(rows[y].tobytes()), prior.tobytes()
+            for k in range(len(row)):
+                row[k] = row[k] + ((row[k - bpp] if k >= bpp else 0) + up[k] >> 1) & 255
+            rows[y] = np.frombuffer(row, np.uint8)
+        elif kind == 4:
+            row, up = bytearray(rows[y].tobytes()), prior.tobytes()
+            for k in range(len(row)):
+                a, b, c = (row[k - bpp], up[k], up[k - bpp]) if k >= bpp else (0, up[k], 0)
+                d = a + b - c
+                x, y_, z = abs(d - a), abs(d - b), abs(d - c)
+                row[k] = row[k] + (a if x <= y_ and x <= z else b if y_ <= z else c) & 255
+            rows[y] = np.frombuffer(row, np.uint8)
         elif kind != 0:
             raise ValueError(f"unknown row filter {kind}")
         y = end
     return rows
 
 
-def encode_png(samples: np.ndarray, row_filter: int = 0, level: int = 1) -> bytes:
-    """An 8-bit grey PNG of a two-dimensional array of bytes."""
+def encode_png(samples: np.ndarray, row_filter: int = 2, level: int = 1, stripe: int = 1 << 20) -> bytes:
+    """An 8-bit grey PNG of a two-dimensional array of bytes; rows are filtered and compressed a stripe at a time."""
     height, width = samples.shape
+    deflate, body, step = zlib.compressobj(level), [], max(1, stripe // max(1, width))
+    for y in range(0, height, step):
+        above = samples[y - 1 : y] if y else samples[:0]
+        rows = filtered(np.vstack([above, samples[y : y + step]]), row_filter)[len(above) :]
+        body.append(deflate.compress(rows.tobytes()))
+    body.append(deflate.flush())
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered(samples, row_filter).tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(body)) + _chunk(b"IEND", b"")
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -100,33 +112,47 @@ def decode_png(data: bytes) -> np.ndarray:
     if head is None or head[2] != 8 or head[6]:
         raise ValueError("only 8-bit PNGs without interlacing are read")
     bpp = CHANNELS[head[3]]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    if len(raw) != head[1] * (1 + head[0] * bpp):
+    size, inflate = head[1] * (1 + head[0] * bpp), zlib.decompressobj()
+    raw = np.frombuffer(inflate.decompress(b"".join(body), size + 1), np.uint8)  # never more than the head tells
+    if len(raw) != size or inflate.unconsumed_tail:
         raise ValueError("the samples don't fill the image")
     return unfiltered(raw.reshape(head[1], -1), bpp).reshape(head[1], head[0], bpp)
 
 
-@functools.lru_cache(maxsize=4096)
-def _low(n: int, size: int = 32, keep: int = 8) -> np.ndarray:
-    """keep x n: means over ``size`` equal stretches of n samples, then the lowest rows of a cosine transform."""
-    edges = np.linspace(0, n, size + 1)
-    cover = np.clip(np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n)), 0, None)
-    cosine = np.cos(np.pi * np.arange(keep)[:, None] * (2 * np.arange(size) + 1) / (2 * size))
-    return cosine @ (cover / (n / size))
+_COSINE = np.cos(np.pi * np.arange(8)[:, None] * (2 * np.arange(32) + 1) / 64)
+
+
+def _means(x: np.ndarray, size: int = 32) -> np.ndarray:
+    """Means over ``size`` equal stretches of the rows; a row that a stretch cuts counts in part."""
+    n = len(x)
+    out = np.zeros((size, x.shape[1]))
+    for k in range(size):
+        a, b = k * n, (k + 1) * n  # in parts of 1 / size of a row
+        first, last = -(-a // size), b // size
+        if first <= last:
+            out[k] = x[first:last].sum(axis=0, dtype=np.float64) * size
+            if a < first * size:
+                out[k] += x[first - 1].astype(np.float64) * (first * size - a)
+            if last * size < b:
+                out[k] += x[last].astype(np.float64) * (b - last * size)
+        else:
+            out[k] = x[last].astype(np.float64) * (b - a)
+    return out / n
 
 
 def dct_hash(grey: np.ndarray) -> bytes:
-    """64 bits, row by row: is each of the 8 x 8 lowest cosine coefficients over their median?"""
-    c = np.round(_low(grey.shape[0]) @ grey.astype(np.float64) @ _low(grey.shape[1]).T, 3).ravel()
+    """64 bits, row by row: is each of the 8 x 8 lowest cosine coefficients of the image, reduced to 32 x 32 means, over their median?"""
+    c = np.round(_COSINE @ _means(_means(grey).T) @ _COSINE.T, 3).T.ravel()
     return np.packbits(c > np.median(c)).tobytes()
 
 
-def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, row_filter: int = 0, level: int = 1) -> DataFrame:
+def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, row_filter: int = 2, level: int = 1) -> DataFrame:
     """Texts as PNG columns: (doc_id, n_bytes long, media binary).
 
     The UTF-8 bytes, zeros up to a positive multiple of ``width`` added, are the samples of a grey image ``width``
-    wide. A null or empty text is a row of zeros. Null ids and repeated rows are stored row by row; other columns
-    are ignored; an empty table gives no rows.
+    wide, each stored as its difference from the row above (filter 2). A null or empty text is a row of zeros. Null ids and
+    repeated rows are stored row by row; a very long text is filtered and compressed a stripe at a time, so it takes a few
+    times its own size of memory; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     work = common.with_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -147,7 +173,8 @@ def features(stored: DataFrame, *, id_col: str = "doc_id", media_col: str = "med
     """Read PNG columns back: (doc_id, n_bytes, media, payload binary, feature binary, error string).
 
     payload holds the samples, feature the cosine-transform hash of the image (colour channels averaged). Media that
-    is null, cut short or fails a checksum has null payload and feature, and says why in error.
+    is null, cut short, fails a checksum or holds more than its head tells has null payload and feature, and says why in
+    error. Repeated rows and null ids are read row by row; other columns are ignored; an empty table gives no rows.
     """
     size = "n_bytes" if "n_bytes" in stored.columns else None
     work = common.with_small_batches(stored).select(F.col(id_col).alias("doc_id"), (F.col(size) if size else F.lit(None)).cast("long").alias("n_bytes"), F.col(media_col).cast("binary").alias("media"))
