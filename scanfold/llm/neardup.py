@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -12,13 +13,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_rng = np.random.default_rng(20240229)
-_LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LETTER[65:91] = _LETTER[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+#: Texts of more bytes are hashed in pieces of about so many.
+PIECE = 1 << 20
+_ROUND = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
+
+#: A set of shingles: 128 bits of each, as two arrays in ascending order of the first.
+Shingles = tuple[np.ndarray, np.ndarray]
+NONE: Shingles = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,50 +36,135 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, n - 1).bit_length() if n > 1 << 20 else 1 << 20
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
-    return _powers
-
-
-def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """Each text's sorted distinct shingles as 64-bit hashes.
+class Words:
+    """128 bits of each word, from its BLAKE2b digest; short words are remembered while they are few."""
+
+    def __init__(self, limit: int = 200_000):
+        self.known: dict[bytes, bytes] = {}
+        self.limit = limit
+
+    def hashes(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words x 2 hashes of all words, A-Z as a-z, and where each text's words begin; words end at ``at``, the texts' edges."""
+        inside = ~_SPACE[body]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        edges = at[:-1][at[:-1] < at[1:]]
+        first[edges] = inside[edges]
+        ends = at[1:][at[:-1] < at[1:]] - 1
+        last[ends] = inside[ends]
+        starts = np.flatnonzero(first)
+        sizes = np.flatnonzero(last) + 1 - starts
+        if not len(starts):
+            return np.zeros((0, 2), np.uint64), np.zeros(len(at), np.int64)
+        data, offsets = _LOWER[body[inside]], np.concatenate([[0], np.cumsum(sizes)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        distinct, known = coded.dictionary.to_pylist(), self.known
+        if len(known) + len(distinct) > self.limit:
+            known.clear()
+        found = []
+        for w in distinct:
+            h = known.get(w)
+            if h is None:
+                h = hashlib.blake2b(w, digest_size=16).digest()
+                if len(w) <= 64:
+                    known[w] = h
+            found.append(h)
+        table = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+        return table[coded.indices.to_numpy(zero_copy_only=False)], np.searchsorted(starts, at)
+
+
+_words = Words()
+
+
+def _windows(words: np.ndarray, n: int) -> list[np.ndarray]:
+    """Both hashes of every run of ``n`` words."""
+    out = []
+    for lane, k in enumerate(_ROUND):
+        w = words[:, lane]
+        x = w.copy()
+        for j in range(1, n):
+            x = _mix(x[: len(w) - j] * k + w[j:]) if len(w) > j else x[:0]
+        out.append(x)
+    return out
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> Shingles:
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # two shingles that share the first half
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        same = a[1:] == a[:-1]
+    keep = np.ones(len(a), bool)
+    keep[1:] = ~same | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+def _whole(words: np.ndarray) -> Shingles:
+    """The only shingle of a text of fewer words than a shingle has."""
+    out = []
+    for lane, k in enumerate(_ROUND):
+        x = words[:1, lane]
+        for j in range(1, len(words)):
+            x = _mix(x * k + words[j, lane])
+        out.append(_mix(x + np.uint64(len(words))))
+    return out[0], out[1]
+
+
+def _long_set(body: np.ndarray, n: int) -> Shingles:
+    """The set of one long text, piece by piece; a piece ends at white space, and the last words of one go before the next."""
+    parts, carry, at, short = [], np.zeros((0, 2), np.uint64), 0, True
+    while at < len(body):
+        end = min(len(body), at + PIECE)
+        while end < len(body):
+            gap = np.flatnonzero(_SPACE[body[end : end + PIECE]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(len(body), end + PIECE)
+        words, _ = _words.hashes(body[at:end], np.array([0, end - at]))
+        words = np.concatenate([carry, words])
+        if len(words) >= n:
+            parts.append(_distinct(*_windows(words, n)))
+            short = False
+        carry, at = words[max(0, len(words) - n + 1) :] if n > 1 else words[:0], end
+    if short:
+        return _whole(carry) if len(carry) else NONE
+    # merged by ranges of the first hash, so that no second copy of all is sorted at once
+    cuts = np.arange(1, 32, dtype=np.uint64) << np.uint64(59)
+    edges = [[0, *np.searchsorted(a, cuts).tolist(), len(a)] for a, _ in parts]
+    total, size = sum(len(a) for a, _ in parts), 0
+    out = np.empty(total, np.uint64), np.empty(total, np.uint64)
+    for r in range(32):
+        a, b = _distinct(*(np.concatenate([p[lane][e[r] : e[r + 1]] for p, e in zip(parts, edges, strict=True)]) for lane in (0, 1)))
+        out[0][size : size + len(a)], out[1][size : size + len(a)] = a, b
+        size += len(a)
+    return out[0][:size], out[1][:size]
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[Shingles]:
+    """Each text's distinct shingles, 128 bits of each drawn from digests of its words.
 
     A-Z count as a-z; words are what lies between spaces and the controls 9 to 13. A text with fewer than
-    ``words`` words has its whole sequence as its only shingle; one without words has none.
+    ``words`` words has its whole sequence as its only shingle; one without words has none. A long text is hashed
+    in pieces, so that it takes a few times its own size of memory at most.
     """
     body, at = common.utf8(texts)
     if not len(body):
-        return [np.zeros(0, np.uint64)] * (len(at) - 1)
-    power, inverse = _power(len(body) + 1)
-    space = _SPACE[body]
-    first, last = ~space, ~space
-    first[1:] &= space[:-1]
-    last[:-1] &= space[1:]
-    edges = at[:-1][at[:-1] < at[1:]]
-    first[edges] = ~space[edges]
-    ends = at[1:][at[:-1] < at[1:]] - 1
-    last[ends] = ~space[ends]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[body] * power[: len(body)], dtype=np.uint64)])
-    word = _mix((sums[ends] - sums[starts]) * inverse[starts])
-    where = np.searchsorted(starts, at)
-    windows = word.copy()
-    for k in range(1, words):
-        windows = _mix(windows[: len(word) - k] * np.uint64(0xD6E8FEB86659FD93) + word[k:]) if len(word) > k else windows[:0]
+        return [NONE] * (len(at) - 1)
+    if len(body) > 2 * PIECE:
+        return [_long_set(body[a:b], words) if b > a else NONE for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    hashed, where = _words.hashes(body, at)
+    both = _windows(hashed, words)
     found = []
     for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
         if b - a >= words:
-            found.append(np.unique(windows[a : b - words + 1]))
-        elif b > a:
-            whole = word[a : a + 1]
-            for k in range(a + 1, b):
-                whole = _mix(whole * np.uint64(0xD6E8FEB86659FD93) + word[k])
-            found.append(_mix(whole + np.uint64(b - a)))
+            found.append(_distinct(both[0][a : b - words + 1], both[1][a : b - words + 1]))
         else:
-            found.append(np.zeros(0, np.uint64))
+            found.append(_whole(hashed[a:b]) if b > a else NONE)
     return found
 
 
@@ -82,9 +172,9 @@ def circulant_minhash(shingles: np.ndarray, size: int) -> np.ndarray:
     """``size`` coordinates from two permutations: the first spreads shingles over 2 ** 32 places, the second, shifted circularly by k, gives coordinate k."""
     shift = np.arange(size, dtype=np.uint32)[:, None]
     low = np.full(size, 0xFFFFFFFF, np.uint32)
-    places = (_mix(shingles ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
-    for a in range(0, len(places), 512):
-        h = places[None, a : a + 512] + shift
+    for a in range(0, len(shingles), 512):
+        places = (_mix(shingles[a : a + 512] ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
+        h = places[None, :] + shift
         t = np.empty_like(h)
         for right, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
             np.right_shift(h, np.uint32(right), out=t)
@@ -101,42 +191,44 @@ def banding(threshold: float, rows: int = 5, miss: float = 1e-7) -> tuple[int, i
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, h1 and h2 (a hash of the set), keys (one for each band), sig (a byte of each coordinate)."""
+    """Per row: row, doc_id, n_shingles, h1 and h2 (a digest of the set), keys (one for each band), sig (a byte of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in common.text_slices(batches, "text", 1 << 19):
-            n, h1, h2, keys, sig = [], [], [], [], []
-            for s in shingle_sets(batch.column("text"), words):
-                n.append(len(s))
-                h1.append(_mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
-                h2.append(_mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                if len(s):
-                    low = circulant_minhash(s, bands * rows)
+            n, digests, keys, sig = [], [], [], []
+            for a, b in shingle_sets(batch.column("text"), words):
+                n.append(len(a))
+                h = hashlib.blake2b(a.tobytes(), digest_size=16)
+                h.update(b.tobytes())
+                digests.append(h.digest())
+                if len(a):
+                    low = circulant_minhash(a, bands * rows)
                     grid, key = low.reshape(bands, rows), salt.copy()
                     for k in range(rows):
-                        key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + grid[:, k])
+                        key = _mix(key * _ROUND[0] + grid[:, k])
                     keys.append(key.view(np.int64))
                     sig.append((low & np.uint32(255)).astype(np.uint8).tobytes())
                 else:
                     keys.append(np.zeros(0, np.int64))
                     sig.append(b"")
             at = np.cumsum([0, *map(len, keys)])
-            out = [pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h1, h2)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys))), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], names=["doc_id", "n_shingles", "h1", "h2", "keys", "sig"])
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))
+            out = [pa.array(n, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists, pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *out], names=["row", "doc_id", "n_shingles", "h1", "h2", "keys", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
+    return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def roles(pairs: DataFrame) -> DataFrame:
-    """What each document has to do with ``pairs`` (a, b): (doc_id, a, part, role), role 0 as the first of them, 1 as the second.
+    """What each text has to do with ``pairs`` (a, b): (rep, a, part, role), role 0 as the first of them, 1 as the second.
 
-    A first document goes to each of up to 64 parts of its partners, so none with many partners is one task's work.
+    A first text goes to a part for each 256 of its partners, so none with many partners is one task's work.
     """
-    part = F.pmod(F.xxhash64("b"), F.lit(64))
-    cut = pairs.groupBy("a").agg(F.least(F.lit(64), F.ceil(F.count("*") / 256)).alias("cuts"))
-    both = pairs.join(cut, "a").select("a", "b", F.when(F.col("cuts") > 1, F.pmod(part, F.col("cuts"))).otherwise(F.lit(0)).cast("int").alias("part"))
-    return both.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("role")).unionByName(both.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("role")).distinct())
+    cut = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("long").alias("cuts"))
+    both = pairs.join(cut, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cuts")).alias("part"))
+    return both.select(F.col("b").alias("rep"), "a", "part", F.lit(1).alias("role")).unionByName(both.select(F.col("a").alias("rep"), "a", "part", F.lit(0).alias("role")).distinct())
 
 
 def confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -144,27 +236,30 @@ def confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, heads = None, []
+        held, head = None, None
         for batch in common.text_slices(batches, "text", 1 << 19):
             left, right = [], []
             sets = shingle_sets(batch.column("text"), words)
-            for doc, a, part, role, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "part", "role")), sets, strict=True):
+            for rep, a, part, role, s in zip(*(batch.column(c).to_pylist() for c in ("rep", "a", "part", "role")), sets, strict=True):
                 if role == 0:
-                    heads = [*heads, s] if held == (a, part) else [s]
-                    held = (a, part)
-                elif held == (a, part) and any(_linked(h, s, percent) for h in heads):
+                    held, head = (a, part), s
+                elif held == (a, part) and _linked(head, s, percent):
                     left.append(a)
-                    right.append(doc)
+                    right.append(rep)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.select("doc_id", "text", "a", "part", "role").mapInArrow(run, "a long, b long")
+    return rows.select("rep", "text", "a", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+def _linked(x: Shingles, y: Shingles, percent: int) -> bool:
+    """Is ``percent`` of the union common? Shingles count as common only where all 128 bits agree."""
+    small, large = (x, y) if len(x[0]) <= len(y[0]) else (y, x)
+    n = len(x[0]) + len(y[0])
+    if not len(small[0]) or 100 * len(small[0]) < percent * len(large[0]):
         return False
-    shared = np.intersect1d(a, b, assume_unique=True).size
-    return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
+    at = np.minimum(np.searchsorted(large[0], small[0]), len(large[0]) - 1)
+    shared = int(((large[0][at] == small[0]) & (large[1][at] == small[1])).sum())
+    return shared > 0 and 100 * shared >= percent * (n - shared)
 
 
 def confirmed_in_cells(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -173,10 +268,10 @@ def confirmed_in_cells(pairs: DataFrame, texts: DataFrame, words: int, percent:
     A task holds the sets of one cell, of two blocks at most, and tests the pairs that follow them.
     """
     cell = ["key", "i", "j"]
-    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("rep")).distinct().join(texts, "rep")
     null = F.lit(None)
-    rows = ends.select(*cell, F.lit(0).alias("kind"), "doc_id", "text", null.cast("long").alias("a"), null.cast("long").alias("b")).unionByName(
-        pairs.select(*cell, F.lit(1).alias("kind"), null.cast("long").alias("doc_id"), null.cast("string").alias("text"), "a", "b")
+    rows = ends.select(*cell, F.lit(0).alias("kind"), "rep", "text", null.cast("long").alias("a"), null.cast("long").alias("b")).unionByName(
+        pairs.select(*cell, F.lit(1).alias("kind"), null.cast("long").alias("rep"), null.cast("string").alias("text"), "a", "b")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +279,18 @@ def confirmed_in_cells(pairs: DataFrame, texts: DataFrame, words: int, percent:
         for batch in common.text_slices(batches, "text", 1 << 19):
             left, right = [], []
             sets = shingle_sets(batch.column("text"), words)
-            for *now, kind, doc, a, b, s in zip(*(batch.column(c).to_pylist() for c in (*cell, "kind", "doc_id", "a", "b")), sets, strict=True):
+            for *now, kind, rep, a, b, s in zip(*(batch.column(c).to_pylist() for c in (*cell, "kind", "rep", "a", "b")), sets, strict=True):
                 if now != at:
                     at, held = now, {}
                 if kind == 0:
-                    held.setdefault(doc, []).append(s)
-                elif any(_linked(x, y, percent) for x in held.get(a, ()) for y in held.get(b, ())):
+                    held[rep] = s
+                elif _linked(held.get(a, NONE), held.get(b, NONE), percent):
                     left.append(a)
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     rows = rows.repartition(*cell).sortWithinPartitions(*cell, "kind")
-    return rows.select(*cell, "kind", "doc_id", "text", "a", "b").mapInArrow(run, "a long, b long")
+    return rows.select(*cell, "kind", "rep", "text", "a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,7 +323,7 @@ def _crossing(inside: DataFrame, found: DataFrame, sig: DataFrame, threshold: fl
     """
     named = inside.join(found, inside["rep"] == found["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / 512).cast("int").alias("blocks"))
-    rows = named.join(mixed, "key").join(sig.select(F.col("doc_id").alias("rep"), "n_shingles", "sig"), "rep")
+    rows = named.join(mixed, "key").join(sig, "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("key", "rep", "root", "n_shingles", "sig", block.alias("block"), other)
@@ -265,40 +360,62 @@ def _crossing(inside: DataFrame, found: DataFrame, sig: DataFrame, threshold: fl
     return found.groupBy("a", "b").agg(F.min("key").alias("key"), F.min_by("i", "key").alias("i"), F.min_by("j", "key").alias("j"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-7) -> DataFrame:
-    """Classes of near-duplicate documents: (doc_id, n_shingles long, component_id long, kept boolean), a row for each row of ``docs``.
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-7
+) -> DataFrame:
+    """Classes of near-duplicate documents: (row, doc_id, n_shingles long, component_id long, kept, first boolean), a row for each row of ``docs``.
 
     Documents are linked when 100 * common >= ``percent`` * union of their sets of distinct ``words``-word shingles;
-    every link is confirmed on full sets. Candidates share a band of circulant MinHash; a pair at the threshold
-    has none with a probability of at most ``miss``. Equal sets are one class from the start. Within a bucket
-    all members are tested against the smallest, and then those that are still in different components against one
-    another, in blocks of bounded size. A pair goes untested only if its signatures agree more than five standard
-    deviations less than those of a pair at the threshold would.
-
-    Texts without words, null or empty ones included, are linked with nothing. Rows without an id have a null
-    component_id and are kept. Rows that share an id are judged by their own texts. Other columns are ignored; an empty table gives no rows.
+    every link is confirmed on full sets, in which a shingle is 128 bits drawn from digests of its words. Candidates share
+    a band of circulant MinHash; a pair at the threshold has none with a probability of at most ``miss``. Equal sets are
+    one class from the start. Within a bucket all members are tested against the smallest, and then those that are still in
+    different components against one another, in blocks of bounded size. A pair goes untested only if its signatures agree
+    more than five standard deviations less than those of a pair at the threshold would.
+
+    Null, empty and blank texts have no words and are linked with nothing. Rows without an id have a null component_id and are
+    kept. ``kept`` tells whether the id is the component's smallest; ``first`` marks exactly one row of each component, one of
+    the smallest id, also where ids or whole rows repeat: nodes are rows, so each row is judged by its own text. ``row`` is the
+    caller's ``row_col``, unique longs in a table that doesn't change between reads; without it rows are numbered in a written
+    copy of ids and texts. Very long texts are hashed in pieces, in a few times their own size of memory. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     threshold = percent / 100
     bands, rows = banding(threshold, rows, miss)
-    work = common.with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    work = common.with_small_batches(docs).select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = [] if row_col else [work := common.written(work, "numbered", compression="zstd")]
     sig = common.written(signatures(work, words, bands, rows), "signatures")
+    member = common.written(sig.select("row", "doc_id", "n_shingles", "h1", "h2"), "members")
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = common.written(sig.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    placed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    earliest = F.min(F.struct("doc_id", "row"))
+    classes = common.written(full.groupBy("h1", "h2").agg(F.min("row").alias("rep"), earliest.alias("early"), F.count("*").alias("n")), "classes")
+    reps = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    placed = reps.select(F.explode("keys").alias("key"), F.col("row").alias("rep"))
     buckets = placed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
     inside = common.written(placed.join(buckets, "key"), "buckets")
-    texts = work.where("doc_id is not null")
     stars = inside.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     # every member of a bucket has a role here; texts are joined once, and the second round reads what is left of them
-    per = roles(stars).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "role")).alias("roles"))
-    texts = common.written(texts.join(per, "doc_id").select("doc_id", "text", "roles"), "texts", compression="zstd")
-    links = common.written(confirmed(texts.select("doc_id", "text", F.inline("roles")), words, percent), "links")
+    per = roles(stars).groupBy("rep").agg(F.collect_list(F.struct("a", "part", "role")).alias("roles"))
+    texts = common.written(work.select(F.col("row").alias("rep"), "text").join(per, "rep"), "texts", compression="zstd")
+    links = common.written(confirmed(texts.select("rep", "text", F.inline("roles")), words, percent), "links")
     found = components(links)
-    more = common.written(_crossing(inside.select("key", "rep"), found, reps.select("doc_id", "n_shingles", "sig"), threshold, bands * rows), "crossing")
+    marks = reps.select(F.col("row").alias("rep"), "n_shingles", "sig")
+    more = common.written(_crossing(inside.select("key", "rep"), found, marks, threshold, bands * rows), "crossing")
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed_in_cells(more, texts.select("doc_id", "text"), words, percent)))
-    return member.join(found, member["rep"] == found["node"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")
-    ).withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+        before, found = found, components(links.unionByName(confirmed_in_cells(more, texts.select("rep", "text"), words, percent)))
+        common.dropped(before)
+    named = classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", "n", "early", F.coalesce("root", "rep").alias("root"))
+    named = common.written(named, "roots")
+    by_root = named.groupBy("root").agg(F.min("early").alias("early"), F.count("*").alias("n"))
+    judged = common.joined_on_hot(named.select("h1", "h2", "n", "root"), by_root, ["root"]).select("h1", "h2", "n", "early")
+    judged = common.written(judged, "judged")
+    common.dropped(sig, classes, inside, texts, links, more, found, named, *own)
+    none = F.lit(None).cast("struct<doc_id:bigint,row:bigint>").alias("early")
+    in_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    alone = member.where(~in_class).select("row", "doc_id", "n_shingles", none)
+    both = common.joined_on_hot(member.where(in_class), judged, ["h1", "h2"]).select("row", "doc_id", "n_shingles", "early").unionByName(alone)
+    component = F.coalesce("early.doc_id", "doc_id")
+    return both.select(
+        "row", "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"),
+        (F.col("early").isNull() | (F.col("row") == F.col("early.row"))).alias("first"),
+    )
