@@ -60,11 +60,6 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents"), max_owners=2, max_repositories=8))
-
-
-def op7_secrets_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_secrets, but a value is live by its owners alone, as in the pipeline."""
     return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents"), max_owners=2))
 
 
@@ -81,11 +76,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_warc, op3_packing, op4_sentencepiece, op5_chat, op6_language, op7_secrets, op7_secrets_by_owner, op8_media, op9_token_counts, op10_minhash)
+    own = (op1_topk, op2_warc, op3_packing, op4_sentencepiece, op5_chat, op6_language, op7_secrets, op8_media, op9_token_counts, op10_minhash)
     return {f.__name__: f for f in own}
 
 
@@ -123,19 +119,29 @@ WITH t AS (
 ), c AS (
   SELECT *, len(regexp_extract_all(body, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS tokens FROM b
 ), n AS (
-  SELECT *, row_number() OVER w AS idx, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, max(tokens) OVER (PARTITION BY conv_id) AS longest
+  SELECT *, row_number() OVER w AS idx, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, floor(coalesce(turn, -9223372036854775808) / 256) AS blk
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), s AS (
   SELECT conv_id, arg_min(idx, idx) AS sys_idx, arg_min(tokens, idx) AS sys_tokens, arg_min(length(body), idx) AS sys_chars FROM n WHERE role = 'system' GROUP BY conv_id
-), r AS (
-  SELECT n.*, upto - tokens AS pre, (upto - 1) // greatest(256, 1792 - coalesce(sys_tokens, 0) - longest) AS w, coalesce(idx = sys_idx, false) AS is_system, sys_chars
+), m AS (
+  SELECT n.*, upto - tokens AS pre, coalesce(idx = sys_idx, false) AS is_system, coalesce(sys_tokens, 0) AS sys_tokens, sys_chars, (row_number() OVER (PARTITION BY n.conv_id, blk ORDER BY idx) - 1) // 256 AS cut
   FROM n LEFT JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id
+), g AS (
+  SELECT conv_id, blk, cut, min(idx) AS lo, any_value(sys_tokens) AS st,
+    list({'idx': idx, 'tok': CASE WHEN is_system THEN 0 ELSE tokens END::BIGINT, 'used': 0::BIGINT, 'starts': []::BIGINT[]} ORDER BY idx) AS ts FROM m GROUP BY conv_id, blk, cut
+), z AS (
+  SELECT conv_id, blk, cut, list_reduce(list_prepend({'idx': 0::BIGINT, 'tok': 0::BIGINT, 'used': 0::BIGINT, 'starts': []::BIGINT[]}, ts), lambda a, x:
+    CASE WHEN len(a.starts) > 0 AND (a.used = 0 OR a.used + x.tok <= greatest(1, 2048 - st - CASE WHEN lo = 1 AND len(a.starts) = 1 THEN 0 ELSE 256 END))
+    THEN {'idx': x.idx, 'tok': x.tok, 'used': (a.used + x.tok)::BIGINT, 'starts': a.starts} ELSE {'idx': x.idx, 'tok': x.tok, 'used': x.tok, 'starts': list_append(a.starts, x.idx)} END).starts AS starts FROM g
+), r AS (
+  SELECT m.*, list_max(list_filter(starts, lambda y: y <= idx)) AS w FROM m JOIN z ON m.conv_id IS NOT DISTINCT FROM z.conv_id AND m.blk = z.blk AND m.cut = z.cut
 ), x AS (
-  SELECT conv_id, w, min(pre) AS first, bool_or(is_system) AS own, any_value(sys_chars) AS sys_chars FROM r GROUP BY conv_id, w
+  SELECT conv_id, w, min(pre) AS first, bool_or(is_system) AS own, any_value(sys_chars) AS sys_chars,
+    greatest(0, least(256, 2048 - any_value(sys_tokens) - sum(CASE WHEN is_system THEN 0 ELSE tokens END))) AS allowed FROM r GROUP BY conv_id, w
 ), p AS (
   SELECT conv_id, sum(length(body)) AS chars FROM r GROUP BY conv_id
   UNION ALL SELECT conv_id, sum(sys_chars) FROM x WHERE NOT own GROUP BY conv_id
-  UNION ALL SELECT r.conv_id, sum(length(r.body)) FROM r JOIN x ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.pre < x.first AND x.first - r.pre <= 256 WHERE NOT r.is_system GROUP BY r.conv_id
+  UNION ALL SELECT r.conv_id, sum(length(r.body)) FROM r JOIN x ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.pre < x.first AND x.first - r.pre <= x.allowed WHERE NOT r.is_system GROUP BY r.conv_id
 ), f AS (
   SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id
 ), k AS (
@@ -167,8 +173,8 @@ c AS ({" UNION ALL ".join([
     _kind("hex", 2, secrets.HEX, 0, "true"),
     _kind("owned", 3, "[A-Za-z0-9+/_=-]{20,}", 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"),
 ])}),
-o AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM c GROUP BY v),
-j AS (SELECT c.*, owners <= 2 AND repositories <= 8 AS live FROM c JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT source) + CAST(count(*) > count(source) AS INT) AS owners FROM c GROUP BY v),
+j AS (SELECT c.*, owners <= 2 AS live FROM c JOIN o USING (v)),
 g AS (
   SELECT doc_id, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, count_if(live) AS n_live,
     string_agg(CASE WHEN kind < 3 THEN name || ':' || a || ':' || b END, ',' ORDER BY a, kind) AS base, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans
@@ -179,8 +185,6 @@ SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
 FROM t LEFT JOIN g USING (doc_id)
 """
 
-OP7_BY_OWNER = OP7.replace("owners <= 2 AND repositories <= 8 AS live", "owners <= 2 AS live")
-
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -200,4 +204,4 @@ FROM s JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1, "op2_warc": OP2, "op5_chat": OP5, "op7_secrets": OP7, "op7_secrets_by_owner": OP7_BY_OWNER, "op10_minhash": OP10}
+    return {"op1_topk": OP1, "op2_warc": OP2, "op5_chat": OP5, "op7_secrets": OP7, "op10_minhash": OP10}

@@ -56,13 +56,13 @@ def candidates(docs: DataFrame, *, owner: Column, repository: Column, text_col:
 
 
 def ownership(table: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories): in how many owners' and repositories' texts each candidate stands.
+    """(hash, n_owners, n_repositories, n): in how many owners' and repositories' texts each candidate stands, and how often.
 
     Rows are first made distinct, then counted for each owner, so a secret that every document holds is no task's burden.
     """
-    held = table.where(F.size("found") > 0).select("owner", "repository", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"))
-    by_owner = held.groupBy("hash", "owner", "repository").agg(F.lit(1)).groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    held = table.where(F.size("found") > 0).select("owner", "repository", F.explode("found.hash").alias("hash"))
+    by_owner = held.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"), F.sum("n").alias("n"))
 
 
 def judged(table: DataFrame, *, max_owners: int, max_repositories: int | None) -> DataFrame:
@@ -75,7 +75,8 @@ def judged(table: DataFrame, *, max_owners: int, max_repositories: int | None) -
     live = F.col("n_owners") <= max_owners
     if max_repositories is not None:
         live &= F.col("n_repositories") <= max_repositories
-    known = each.join(ownership(table), "hash").withColumn("live", live).where(F.col("live") | (F.col("kind") < BASE))
+    owners = common.written(ownership(table), "owners")
+    known = common.joined_on_hot(each, owners, ["hash"]).withColumn("live", live).where(F.col("live") | (F.col("kind") < BASE))
     return known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
 
 
@@ -88,9 +89,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     """Secrets of every whole text: id, spans as structs of start, kind, end and live, ordered by start and kind.
 
     Base kinds: ``assign``, ``access``, ``hex``; what the method adds has the kind ``owned``. Offsets are code points.
-    The repository is the row's id unless a column names it. Null or empty texts have no spans; null owners and
-    repositories count as one each; repeated rows are scanned row by row; other columns are ignored, whatever
-    their names; an empty table gives no rows.
+    The repository is the row's id unless a column names it, and ``source`` is
+    the owner: stand-ins, where the corpus doesn't tell them. Null or empty texts have no spans; null owners and
+    repositories count as one each; repeated rows are scanned row by row; very long texts are searched whole; other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     table = candidates(docs, owner=F.col(owner_col).cast("string"), repository=F.col(repository_col or id_col).cast("string"), text_col=text_col, keep=(id_col,))
     spans = judged(table, max_owners=max_owners, max_repositories=max_repositories)
@@ -110,12 +112,16 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", mask: str = "<SECRET>", max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
-    """The rows and columns of ``docs``, each live-looking credential replaced by ``mask``; examples that many share stay."""
+    """The rows and columns of ``docs``, each live-looking credential replaced by ``mask``; examples that many share stay.
+
+    Every row stays, repeated ones, null and empty texts and rows without an id or an owner too; very long texts are searched
+    whole; columns are carried along whatever their names; an empty table stays empty.
+    """
     names = tuple(docs.columns)
     table = candidates(docs, owner=F.col(owner_col).cast("string"), repository=F.col(repository_col).cast("string"), text_col=text_col, keep=names)
     own = [F.col(f"own_{c}").alias(c) for c in names]
     live = judged(table, max_owners=max_owners, max_repositories=max_repositories).select("row", F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
-    text = F.col(text_col)
+    text = F.col(f"own_{text_col}").cast("string")
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["end"] < acc["at"]
@@ -124,6 +130,6 @@ def redacted(docs: DataFrame, *, text_col: str = "text", owner_col: str = "sourc
         return F.struct(F.when(inside, acc["at"]).otherwise((s["end"] + 1).cast("int")).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
 
     cut = F.aggregate("spans", F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))))
-    with_any = table.where(F.size("found") > 0).join(live, "row", "left").select(*own, "spans")
-    with_any = with_any.withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(cut)).drop("spans")
+    masked = F.when(F.col("spans").isNull(), text).otherwise(cut).alias(text_col)
+    with_any = table.where(F.size("found") > 0).join(live, "row", "left").select(*(masked if c == text_col else F.col(f"own_{c}").alias(c) for c in names))
     return table.where(F.size("found") == 0).select(*own).unionByName(with_any)
