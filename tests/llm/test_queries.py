@@ -2,13 +2,12 @@
 
 import os
 import random
-import re
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from scanfold.llm import langid, neardup, queries, secrets
+from scanfold.llm import counts, langid, neardup, queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -66,7 +65,6 @@ def test_pipeline_stages(spark, tmp_path):
             assert "<SECRET>" in x
     packed = seen["packing"].groupBy("doc_id").sum("length").collect()
     assert {r["doc_id"] for r in packed} == set(three)
-    assert re.search("hex", ",".join(secrets.KINDS)) and random.Random(1)
     assert corpus_pipeline.run(spark, FOLDER).count() == seen["packing"].count() and corpus_pipeline.ORACLE_SQL is None
 
 
@@ -85,6 +83,99 @@ def test_language_stage_drops_unlearned_texts(spark):
     assert model.kept(spanish, least=None).count() <= 0.1 * spanish.count()
 
 
+def test_language_predictions_by_brute_force(spark):
+    """op6 once more: letter by letter, in plain loops over the n-grams of each text."""
+    from collections import Counter
+
+    import numpy as np
+    from zlib import crc32
+
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    vector = langid.Profiler()._vector
+    bound = {}
+
+    def unit(text):
+        letters = [c if c.isalpha() else "" for c in (text or "").lower()]
+        line = [""]
+        for c in [*letters, ""]:
+            if c or line[-1]:
+                line.append(c)
+        grams = Counter(g for g in zip(line, line[1:], line[2:]) if g[1])
+        total = np.zeros(1024)
+        for g, n in grams.items():
+            if g not in bound:
+                a, b, c = (vector(ord(x) if x else 0).astype(int) for x in g)
+                bound[g] = np.roll(a, 2) * np.roll(b, 1) * c
+            total += n * bound[g]
+        return total / max(np.linalg.norm(total), 1e-9), any(letters)
+
+    units = {r["doc_id"]: unit(r["text"]) for r in rows}
+    sums = {}
+    for r in rows:
+        u, ok = units[r["doc_id"]]
+        if ok and r["lang"] is not None and crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + u
+    sums = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    for r in queries.op6_language(spark, FOLDER).collect():
+        u, ok = units[r["doc_id"]]
+        if not ok:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosines = {k: float(u @ v) for k, v in sums.items()}
+        assert abs(r["score"] - max(0.0, *cosines.values())) < 1e-4 and cosines[r["lang_pred"]] >= max(cosines.values()) - 1e-5
+
+
+def test_token_counts_of_the_query_equal_the_library(spark):
+    lib = counts.library_tokenizer(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in queries.op9_token_counts(spark, FOLDER).collect()}
+    assert got == {d: len(lib.encode(x, add_special_tokens=False).ids) for d, x in texts.items()}
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    """Every stage, by brute force, over nulls, repeated ids and rows, empty and long texts, clashing names and no rows."""
+    from tests.llm.test_operators import near_brute
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    base = {r["doc_id"]: r for r in docs.collect()}
+    english = [r["text"] for r in base.values() if r["lang"] == "en" and 200 < len(r["text"]) < 2000][:4]
+    key = "token=z9Y8z9Y8z9Y8z9Y8"
+    hard = [
+        (None, english[0], "en", "s"), (1, None, None, None), (2, "", "en", "s"), (3, " \n", "en", "s"), (4, english[1], "en", "s"), (9, english[1], "en", "s"), (9, english[2], "en", None), (9, english[2], "en", "s"),
+        (10, english[3] + " " + key, "en", "s"), (11, english[3].upper() + " " + key, "en", "s"), (12, english[0] * 300, "en", "s"), (13, "12345 ...", "en", "s"),
+    ]
+    clash = ["row", "rep", "key", "spans", "first", "kept", "ids", "score", "_scanfold"]
+    extra = spark.createDataFrame([(*r, len(r[1] or "")) for r in hard], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    learned = docs.where("doc_id >= 100").select("doc_id", "text", "lang", "source", "n_chars")
+    table = extra.unionByName(learned.withColumn("doc_id", learned["doc_id"] + 10**6))
+    from pyspark.sql import functions as F
+
+    table = table.withColumns({c: F.lit(f"own {c}") for c in clash})
+    now, seen = table, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, FOLDER)
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = now
+        assert name == "packing" or now.columns == table.columns
+    pairs = lambda df: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+    small = lambda df: [x for x in pairs(df) if x[1] < 10**6]
+    assert sorted(x[1] for x in small(seen["language"])) == [0, 4, 9, 9, 9, 10, 11, 12]
+    order = sorted(((None if n else d, t) for n, d, t in pairs(seen["language"])), key=lambda r: (r[0] is None, r[0] or 0))
+    brute = near_brute([(k, t) for k, (_, t) in enumerate(order)], 5, 80)
+    roots = {b[3] for b, (d, _) in zip(brute, order, strict=True) if d is not None}
+    want = sorted(((d is None, d or 0, t) for k, (d, t) in enumerate(order) if d is None or k in roots), key=str)
+    assert sorted(x[1] for x in pairs(seen["near_duplicates"])) == sorted(x[1] for x in want)
+    assert sorted(x[1] for x in small(seen["near_duplicates"]) if not x[0]) == [4, 9, 10, 12]
+    masked = {x[1]: x[2] for x in small(seen["secrets"]) if not x[0]}
+    assert masked[10] == english[3] + " <SECRET>" and masked[4] == english[1]
+    assert seen["packing"].where("doc_id is null or doc_id < 1000000").select("doc_id").distinct().count() == 5
+    now = table.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, FOLDER)
+        assert now.count() == 0
+
+
 def test_digests_against_libraries(spark):
     import hashlib
     import struct
@@ -112,4 +203,5 @@ def test_digests_against_libraries(spark):
         import numpy as np
 
         png = media.encode_png(np.frombuffer(padded, np.uint8).reshape(-1, 64))
+        assert png[8 + 25 + 8] == 0x78 and zlib.decompress(png[8 + 25 + 8 : -16])[:: 65] == b"\x02" * (len(padded) // 64)  # rows under filter 2
         assert (r["media_bytes"], r["media_sha256"]) == (len(png), h(png))
