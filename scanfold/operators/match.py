@@ -12,20 +12,23 @@ from ..functions import text as tx
 from . import patterns
 from .logic import Logical
 
-#: A signature table is broadcast only while it has so many rows; a larger one is joined by shuffle.
-SMALL = 200_000
+#: A signature table is broadcast only while it has so many rows and bytes; a larger one is joined by shuffle.
+SMALL, SMALL_BYTES = 200_000, 32 << 20
 
 
-def small(table: DataFrame, limit: int = SMALL) -> DataFrame:
-    """``table`` with a hint to broadcast it, if it has ``limit`` rows at most."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+def small(table: DataFrame, limit: int = SMALL, most: int = SMALL_BYTES) -> DataFrame:
+    """``table`` with a hint to broadcast it, if it has ``limit`` rows and ``most`` bytes at most; strings and binaries are counted by length."""
+    wide = [F.octet_length(c) for c, kind in table.dtypes if kind in ("string", "binary")]
+    width = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(table.columns))).cast("long")
+    n, size = table.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if n <= limit and size <= most else table
 
 
 def hash_matches(objects: DataFrame, signatures: DataFrame, *, id_col: str = "object_id", content: str = "content") -> DataFrame:
     """(object, algo, name): whole digests, with their size or any size.
 
     Two joins, since an or of the two conditions would compare every object with every signature. Only the kinds of
-    digest that the table has are computed, and sized ones only of objects of a size it names.
+    digest that the table has are computed, each once for both joins.
     """
     kinds = [r[0] for r in signatures.select("algo").distinct().collect()]
     size = F.octet_length(F.col(content).cast("binary")).cast("long")
@@ -52,10 +55,16 @@ def section_matches(objects: DataFrame, signatures: DataFrame, *, id_col: str =
 def container_matches(members: DataFrame, rules: DataFrame, *, id_col: str = "object_id") -> DataFrame:
     """(object, name): members of containers under metadata rules. All given fields must hold; a name rule fails a member without a name.
 
-    The rules are few and are broadcast while small; what holds no range is any.
+    Rules that name a container's type are joined on it; those for any type are put to each type that the members have, so both
+    are equi-joins, broadcast while small. What holds no range is any.
     """
+    kinds = members.select(F.col("container_type").alias("kind")).distinct()
+    every = rules.where("ctype is null").crossJoin(kinds) if kinds.limit(1001).count() <= 1000 else None
+    if every is None:
+        raise ValueError("more than 1000 types of containers")
+    rules = rules.where("ctype is not null").withColumn("kind", F.col("ctype")).unionByName(every.select(*rules.columns, "kind"))
     m, r = members.alias("m"), small(rules).alias("r")
-    ok = F.col("r.ctype").isNull() | (F.col("r.ctype") == F.col("m.container_type"))
+    ok = F.col("r.kind").eqNullSafe(F.col("m.container_type"))
     for c in ("csize", "fsizec", "fsizer", "filepos", "res1"):
         if c in members.columns and f"{c}_lo" in rules.columns:
             ok = ok & (F.col(f"r.{c}_lo").isNull() | F.col(f"m.{c}").between(F.col(f"r.{c}_lo"), F.col(f"r.{c}_hi")))
@@ -77,11 +86,12 @@ def magic_type(content: Column, magics: Iterable[tuple[int, bytes, str]], otherw
 def magic_matches(objects: DataFrame, magics: DataFrame, *, id_col: str = "object_id", content: str = "content") -> DataFrame:
     """(object, type) from a table of magics (seq, off, magic, type): an equi-join for each place and length; the latest entry wins."""
     places = [(r[0], r[1]) for r in magics.select("off", F.octet_length("magic")).distinct().collect()]
-    found = None
+    none = magics.sparkSession.createDataFrame([], "seq long, type string")
+    found = objects.limit(0).select(id_col).crossJoin(none)
     for off, n in places:
         here = magics.where((F.col("off") == off) & (F.octet_length("magic") == n)).select("seq", "magic", "type")
-        one = objects.select(id_col, F.substring(content, off + 1, n).alias("magic")).join(small(here), "magic").select(id_col, "seq", "type")
-        found = one if found is None else found.unionByName(one)
+        one = objects.select(id_col, F.substring(content, off + 1, n).alias("magic")).join(small(here), "magic").select(id_col, F.col("seq").cast("long"), "type")
+        found = found.unionByName(one)
     return found.groupBy(id_col).agg(F.max_by("type", "seq").alias("type"))
 
 

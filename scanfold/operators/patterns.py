@@ -192,6 +192,29 @@ class Offset:
         return at, at + self.width
 
 
+    def span(self, size: int, exe: dict | None = None) -> tuple[int, int] | None:
+        """The same for one object of ``size`` bytes in Python; None where it has no such place."""
+        if self.kind == "any":
+            return 0, size
+        if self.kind == "abs":
+            at = self.start
+        elif self.kind == "eof":
+            at = size - self.start
+        elif exe is None or self.kind == "info":
+            return None
+        elif self.kind == "ep":
+            at = None if exe["ep"] is None else exe["ep"] + self.start
+        else:
+            sections = exe["sections"] or []
+            k = len(sections) - 1 if self.kind == "last" else self.section
+            if not 0 <= k < len(sections):
+                return None
+            at = sections[k]["raw"] + (0 if self.kind == "whole" else self.start)
+            if self.kind == "whole":
+                return at, at + sections[k]["rsz"] + self.width
+        return None if at is None or at < 0 else (at, at + self.width)
+
+
 def parse_offset(text: str | None) -> Offset:
     """``*``, ``n``, ``EOF-n``, ``EP+n``, ``EP-n``, ``Sx+n``, ``SL+n``, ``SEx``, ``VI``; all but ``*`` take ``,width``."""
     spec = (text or "*").strip()

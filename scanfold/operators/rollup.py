@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 RANK = {"weak": 0, "pua": 1, "strong": 2}
 
 
@@ -52,16 +54,22 @@ def distrusted(indicators: DataFrame, trusted_objects: DataFrame, ancestors: Dat
     return indicators.join(covered, "object_id", "left_anti")
 
 
-def ancestors(tree: DataFrame, depth_limit: int = 17) -> DataFrame:
-    """(object_id, ancestor_id) of a tree (object_id, parent_id), self included; a level is one join, and there are ``depth_limit`` at most."""
-    edge = tree.select(F.col("object_id").alias("node"), F.col("parent_id").alias("above")).where("above is not null")
-    now = tree.select("object_id", F.col("object_id").alias("ancestor_id"))
-    out = now
-    for _ in range(depth_limit):
-        now = now.join(edge, now["ancestor_id"] == edge["node"]).select("object_id", F.col("above").alias("ancestor_id"))
-        if now.isEmpty():
-            break
-        out = out.unionByName(now)
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(object_id, ancestor_id) of a tree (object_id, parent_id), self included, however deep it is.
+
+    Distances double: a round joins the ancestors known so far with those as far away as all of them, so a tree of depth d takes
+    log d rounds, each written to the shared folder. A cycle is an error.
+    """
+    jump = tables.written(tree.where("parent_id is not null").select(F.col("object_id").alias("node"), F.col("parent_id").alias("above")).distinct(), "jumps")
+    out = tables.written(tree.select("object_id", F.col("object_id").alias("ancestor_id")).distinct(), "ancestors")
+    while not jump.isEmpty():
+        found = out.join(jump, out["ancestor_id"] == jump["node"]).select("object_id", F.col("above").alias("ancestor_id"))
+        found = tables.written(found, "ancestors")
+        if not found.where("object_id = ancestor_id").isEmpty():
+            raise ValueError("an object lies in itself")
+        far = jump.select(F.col("node").alias("middle"), F.col("above").alias("far"))
+        jump = tables.written(jump.join(far, jump["above"] == far["middle"]).select("node", F.col("far").alias("above")), "jumps")
+        out = out.unionByName(found)
     return out
 
 
@@ -85,9 +93,9 @@ def limited(objects: DataFrame, *, max_file: int = 100 << 20, max_scan: int = 40
     return objects.withColumn("limit", limit)
 
 
-def limit_alerts(limited_objects: DataFrame, *, by: str = "root_id") -> DataFrame:
+def limit_alerts(limited_objects: DataFrame, *, by: str = "root_id", order: str = "object_id") -> DataFrame:
     """One alert per root and scan, if limits are to alert."""
-    return limited_objects.where("`limit` is not null").groupBy(by).agg(F.concat(F.lit("Heuristics.Limits.Exceeded."), F.min_by("limit", "object_id")).alias("name"))
+    return limited_objects.where("`limit` is not null").groupBy(by).agg(F.concat(F.lit("Heuristics.Limits.Exceeded."), F.min_by("limit", order)).alias("name"))
 
 
 def cached(objects: DataFrame, *, content: str = "content") -> tuple[DataFrame, DataFrame]:

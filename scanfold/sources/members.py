@@ -7,12 +7,14 @@ import binascii
 import bz2
 import email
 import email.policy
+import functools
 import gzip
 import io
 import lzma
 import quopri
 import struct
 import tarfile
+import time
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,8 +35,8 @@ def _bounded(reader, limit: int) -> tuple[bytes, bool]:
     return data[:limit], len(data) > limit
 
 
-def unzip(data: bytes, limit: int) -> Iterator[Row]:
-    """Members in order of the central directory; overlapping ones raise an alert, encrypted ones have no content."""
+def unzip(data: bytes, limit: int, passwords: tuple[bytes, ...] = ()) -> Iterator[Row]:
+    """Members in order of the central directory; overlapping ones raise an alert, encrypted ones have content if one of ``passwords`` opens them."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         infos = z.infolist()
         ends = sorted((i.header_offset, i.header_offset + 30 + len(i.filename) + i.compress_size) for i in infos)
@@ -49,11 +51,30 @@ def unzip(data: bytes, limit: int) -> Iterator[Row]:
                     with z.open(i) as f:
                         body = _bounded(f, limit)[0]
                 except (zipfile.BadZipFile, NotImplementedError, zlib.error, EOFError, lzma.LZMAError, OSError):
+                    body = _by_header(data, i, limit)
+            for word in passwords if hidden else ():
+                try:
+                    with z.open(i, pwd=word) as f:
+                        body = _bounded(f, limit)[0]
+                    break
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError, lzma.LZMAError, OSError):
                     body = None
-            alert = "Heuristics.Encrypted.Zip" if hidden else "Heuristics.Zip.OverlappingFiles" if crossed and k == 0 else None
+            alert = "Heuristics.Encrypted.Zip" if hidden and body is None else "Heuristics.Zip.OverlappingFiles" if crossed and k == 0 else None
             yield i.filename, i.compress_size, i.file_size, hidden, k + 1, body, alert
 
 
+def _by_header(data: bytes, info: zipfile.ZipInfo, limit: int) -> bytes | None:
+    """A member whose method the standard library lacks."""
+    from . import packed
+
+    n_name, n_extra = struct.unpack_from("<HH", data, info.header_offset + 26)
+    at = info.header_offset + 30 + n_name + n_extra
+    try:
+        return packed.zip_body(info.compress_type, data[at : at + info.compress_size], info.file_size, info.flag_bits, limit)
+    except (zlib.error, EOFError, lzma.LZMAError, OSError, ValueError, IndexError, struct.error):
+        return None
+
+
 def untar(data: bytes, limit: int) -> Iterator[Row]:
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
         for k, m in enumerate(t):
@@ -206,15 +227,21 @@ def segments_of_gif(data: bytes, limit: int) -> Iterator[Row]:
 
 
 def streams_of_pdf(data: bytes, limit: int) -> Iterator[Row]:
-    """Streams of PDF objects, their Flate, ASCIIHex and ASCII85 filters undone in order."""
+    """Streams of PDF objects, their Flate, LZW, RunLength, ASCIIHex and ASCII85 filters undone in order; what object streams hold follows."""
     import re
 
+    from . import packed
+
     for k, m in enumerate(re.finditer(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bstream\r?\n(.*?)\r?\nendstream", data, re.S)):
         body, alert = m[4], None
-        for name in re.findall(rb"/(FlateDecode|Fl|ASCIIHexDecode|AHx|ASCII85Decode|A85)\b", m[3]):
+        for name in re.findall(rb"/(FlateDecode|Fl|ASCIIHexDecode|AHx|ASCII85Decode|A85|LZWDecode|LZW|RunLengthDecode|RL)\b", m[3]):
             try:
                 if name in (b"FlateDecode", b"Fl"):
                     body = zlib.decompressobj().decompress(body, limit)
+                elif name in (b"LZWDecode", b"LZW"):
+                    body = packed.lzw(body, limit)
+                elif name in (b"RunLengthDecode", b"RL"):
+                    body = packed.run_lengths(body, limit)
                 elif name in (b"ASCIIHexDecode", b"AHx"):
                     digits = re.sub(rb"[^0-9A-Fa-f]", b"", body.split(b">")[0])
                     body = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -227,9 +254,9 @@ def streams_of_pdf(data: bytes, limit: int) -> Iterator[Row]:
         yield f"obj{int(m[1])}", len(m[4]), len(body), False, k + 1, body[:limit], alert
 
 
-def office_parts(data: bytes, limit: int) -> Iterator[Row]:
+def office_parts(data: bytes, limit: int, passwords: tuple[bytes, ...] = ()) -> Iterator[Row]:
     """Parts of a zipped office document."""
-    yield from unzip(data, limit)
+    yield from unzip(data, limit, passwords)
 
 
 def xdp(data: bytes, limit: int) -> Iterator[Row]:
@@ -272,12 +299,23 @@ def register(kind: str, decoder: Callable[[bytes, int], Iterator[Row]]) -> None:
     DECODERS[kind] = decoder
 
 
-def children(objects: DataFrame, *, id_col: str = "object_id", type_col: str = "type", content: str = "content", limit: int = MAX_BYTES) -> DataFrame:
-    """Child rows of all objects that a decoder knows; only those are sent to Python.
+OVER_SIZE, OVER_TIME = "Heuristics.Limits.Exceeded.MaxFileSize", "Heuristics.Limits.Exceeded.MaxScanTime"
+ERRORS = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, zlib.error, struct.error, ValueError, IndexError, KeyError, RuntimeError, SyntaxError)
+
+
+def children(
+    objects: DataFrame, *, id_col: str = "object_id", type_col: str = "type", content: str = "content", limit: int = MAX_BYTES, passwords: tuple[bytes, ...] = (), seconds: float | None = None
+) -> DataFrame:
+    """Child rows of all objects that a decoder knows; only those are sent to Python, a few at a time.
 
-    A container that can't be read gives a row with an alert and no content; each child holds ``limit`` bytes at most.
+    A container that can't be read gives a row with an alert and no content. A child holds ``limit`` bytes at most: of a larger
+    one the first are kept, and an alert says so. ``passwords`` are tried on encrypted zip members. A container on which more
+    than ``seconds`` are spent is left there, with an alert.
     """
-    decoders = dict(DECODERS)
+    conf = objects.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    decoders = {k: functools.partial(f, passwords=passwords) if f is unzip or f is office_parts else f for k, f in DECODERS.items()}
     known = objects.where(F.col(type_col).isin(*decoders)).select(F.col(id_col).cast("long").alias("parent_id"), F.col(type_col).alias("container_type"), F.col(content).cast("binary").alias("content"))
     names = [f.split()[0] for f in CHILD.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.string()]
@@ -285,13 +323,19 @@ def children(objects: DataFrame, *, id_col: str = "object_id", type_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for parent, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = []
+            for k in range(batch.num_rows):
+                parent, kind, data = (c[k].as_py() for c in batch.columns)
+                found, began = [], time.monotonic()
                 try:
-                    for n, (name, packed, real, hidden, place, body, alert) in enumerate(decoders[kind](data or b"", limit)):
-                        found.append((parent, n + 1, kind, name, len(data), packed, real, hidden, place, body, alert))
+                    for n, (name, packed, real, hidden, place, body, alert) in enumerate(decoders[kind](data or b"", limit + 1)):
+                        if body is not None and len(body) > limit:
+                            body, alert = body[:limit], alert or OVER_SIZE
+                        found.append((parent, n + 1, kind, name, len(data or b""), packed, real, hidden, place, body, alert))
                         size += len(body or b"")
-                except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, zlib.error, struct.error, ValueError, IndexError) as e:
+                        if seconds is not None and time.monotonic() - began > seconds:
+                            found.append((parent, n + 2, kind, None, len(data or b""), None, None, None, None, None, OVER_TIME))
+                            break
+                except ERRORS as e:
                     found.append((parent, len(found) + 1, kind, None, len(data or b""), None, None, None, None, None, f"Unreadable: {type(e).__name__}"))
                 rows += found
                 if size > 16 << 20:
