@@ -18,6 +18,26 @@ def byte_text(content: Column | str) -> Column:
     return F.decode(col(content).cast("binary"), "ISO-8859-1")
 
 
+def to_hex(content: Column | str) -> Column:
+    """Bytes as lower-case hexadecimal digits."""
+    return F.lower(F.hex(col(content).cast("binary")))
+
+
+def from_hex(digits: Column | str) -> Column:
+    """Bytes of hexadecimal digits in either case, null for other text."""
+    return F.unhex(col(digits))
+
+
+def to_base64(content: Column | str) -> Column:
+    """Bytes in base64, on one line."""
+    return F.regexp_replace(F.base64(col(content).cast("binary")), r"\s", "")
+
+
+def from_base64(text: Column | str) -> Column:
+    """Bytes of base64 text; white space is passed over."""
+    return F.unbase64(F.regexp_replace(col(text), r"\s", ""))
+
+
 def window(content: Column | str, offset: Column | int, length: Column | int) -> Column:
     """The bytes ``offset`` to ``offset + length``: a nested view of an object."""
     return F.substring(col(content).cast("binary"), F.lit(offset) + 1, F.lit(length) if isinstance(length, int) else length)

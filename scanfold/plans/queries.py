@@ -51,10 +51,11 @@ def hashes(s, d):
     return x.select("doc_id", *(tx.digest("text", a).alias(a) for a in ("md5", "sha1", "sha256")))
 
 
-@query("SELECT doc_id, lower(hex(encode(text[1:20]))) AS hexed, text[1:20] AS back, to_base64(encode(text[1:20])) AS b64 FROM documents")
+@query("SELECT doc_id, md5(lower(hex(encode(text)))) AS hexed, sha256(text) AS back, md5(to_base64(encode(text))) AS b64, sha256(text) AS again FROM documents")
 def hex_base64(s, d):
-    head = F.substring("text", 1, 20)
-    return t(s, d, "documents").select("doc_id", F.lower(F.hex(F.encode(head, "UTF-8"))).alias("hexed"), F.decode(F.unhex(F.hex(F.encode(head, "UTF-8"))), "UTF-8").alias("back"), F.base64(F.encode(head, "UTF-8")).alias("b64"))
+    """Whole texts there and back; the long forms as digests."""
+    x = t(s, d, "documents").select("doc_id", raw.to_hex("text").alias("h"), raw.to_base64("text").alias("b"))
+    return x.select("doc_id", F.md5(F.col("h").cast("binary")).alias("hexed"), F.sha2(raw.from_hex("h"), 256).alias("back"), F.md5(F.col("b").cast("binary")).alias("b64"), F.sha2(raw.from_base64("b"), 256).alias("again"))
 
 
 @query(r"""
@@ -112,22 +113,22 @@ def paths(s, d):
 
 
 @query("""
-WITH k AS (SELECT sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size, 'Known.' || min(doc_id) AS name FROM documents WHERE doc_id % 7 = 0 GROUP BY 1, 2)
+WITH k AS (SELECT sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size, 'Known.' || min(doc_id) AS name FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1, 2)
 SELECT d.doc_id, k.name FROM documents d JOIN k ON sha256(d.text) = k.digest AND strlen(d.text) = k.size""")
 def hash_sig_sized(s, d):
     x = t(s, d, "documents")
-    known = x.where("doc_id % 7 = 0").groupBy(tx.digest("text").alias("digest"), F.octet_length("text").cast("long").alias("size")).agg(F.concat(F.lit("Known."), F.min("doc_id")).alias("name")).withColumn("algo", F.lit("sha256"))
+    known = x.join(t(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").groupBy(tx.digest("text").alias("digest"), F.octet_length("text").cast("long").alias("size")).agg(F.concat(F.lit("Known."), F.min("doc_id")).alias("name")).withColumn("algo", F.lit("sha256"))
     return match.hash_matches(x, known, id_col="doc_id", content="text").select("doc_id", "name")
 
 
 @query("""
-WITH k AS (SELECT md5(text) AS digest, 'Any.' || min(item_id) AS name FROM benchmark GROUP BY 1), w AS (SELECT sha1(text) AS digest, 'Doc.' || min(doc_id) AS name FROM documents WHERE doc_id % 11 = 0 GROUP BY 1)
+WITH k AS (SELECT md5(text) AS digest, 'Any.' || min(item_id) AS name FROM benchmark GROUP BY 1), w AS (SELECT sha1(text) AS digest, 'Doc.' || min(doc_id) AS name FROM documents WHERE contains(text, 'token') GROUP BY 1)
 SELECT doc_id, name FROM documents JOIN k ON md5(text) = digest UNION ALL SELECT doc_id, name FROM documents JOIN w ON sha1(text) = digest""")
 def hash_sig_wild(s, d):
     x = t(s, d, "documents")
     none = F.lit(None).cast("long").alias("size")
     k = t(s, d, "benchmark").groupBy(tx.digest("text", "md5").alias("digest")).agg(F.concat(F.lit("Any."), F.min("item_id")).alias("name")).select(F.lit("md5").alias("algo"), "digest", none, "name")
-    w = x.where("doc_id % 11 = 0").groupBy(tx.digest("text", "sha1").alias("digest")).agg(F.concat(F.lit("Doc."), F.min("doc_id")).alias("name")).select(F.lit("sha1").alias("algo"), "digest", none, "name")
+    w = x.where(F.col("text").contains("token")).groupBy(tx.digest("text", "sha1").alias("digest")).agg(F.concat(F.lit("Doc."), F.min("doc_id")).alias("name")).select(F.lit("sha1").alias("algo"), "digest", none, "name")
     return match.hash_matches(x, k.unionByName(w), id_col="doc_id", content="text").select("doc_id", "name")
 
 
@@ -137,10 +138,11 @@ def hash_dedup_cache(s, d):
     return ids.join(one.select("_key").distinct(), "_key").groupBy(F.col("_key").alias("key")).agg(F.count("*").alias("n"), F.min("object_id").alias("first"))
 
 
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 5 = 0 AND sha256(k.text) = sha256(d.text))")
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k JOIN labels l ON k.doc_id = l.doc_id WHERE l.quality = 1 AND sha256(k.text) = sha256(d.text))")
 def fp_anti_join(s, d):
     x = docs(s, d)
-    trust = x.where("object_id % 5 = 0").select(F.lit("sha256").alias("algo"), tx.digest("content").alias("digest"), F.lit(None).cast("long").alias("size"), F.lit("trust").alias("name")).distinct()
+    good = t(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("object_id"))
+    trust = x.join(good, "object_id", "left_semi").select(F.lit("sha256").alias("algo"), tx.digest("content").alias("digest"), F.lit(None).cast("long").alias("size"), F.lit("trust").alias("name")).distinct()
     return x.join(match.trusted(x, trust), "object_id", "left_anti").select(F.col("object_id").alias("doc_id"))
 
 
@@ -190,13 +192,17 @@ def body_options(s, d):
     return t(s, d, "documents").select("doc_id", occurs("50617373776f7264", "i").alias("nocase"), occurs("746865", "f").alias("whole"), occurs("746865", "w").alias("wide"))
 
 
-@query("""
-SELECT doc_id, CAST(len(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 4) = 'thth' OR substring(text, i, 4) = 'erer')) AS BIGINT) AS n,
-  list_filter(range(0, length(text)), lambda i: substring(text, i + 1, 4) = 'thth')[1] AS first FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')""")
+#: A text in which each character stands for as many bytes as it has, so that characters count as bytes.
+BYTES = r"regexp_replace(regexp_replace(regexp_replace(text, '[\x{80}-\x{7ff}]', '##', 'g'), '[\x{800}-\x{ffff}]', '###', 'g'), '[\x{10000}-\x{10ffff}]', '####', 'g')"
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, string_split({BYTES}, '') AS c FROM documents)
+SELECT doc_id, CAST(len(list_filter(range(1, len(c) - 2), lambda i: c[i] = c[i + 2] AND c[i + 1] = c[i + 3] AND c[i] || c[i + 1] IN ('th', 'er'))) AS BIGINT) AS n,
+  list_filter(range(0, len(c) - 3), lambda i: c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] = 'thth')[1] AS first FROM b""")
 def subsig_count_overlap(s, d):
-    x = t(s, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
     b = raw.byte_text("text")
-    return x.select("doc_id", raw.match_count(b, r"(?:thth|erer)").cast("long").alias("n"), F.get(raw.match_offsets(b, "thth"), F.lit(0)).alias("first"))
+    return t(s, d, "documents").select("doc_id", raw.match_count(b, r"(?:thth|erer)").cast("long").alias("n"), F.get(raw.match_offsets(b, "thth"), F.lit(0)).alias("first"))
 
 
 # Logical signatures
@@ -345,11 +351,12 @@ def first_match(s, d):
 
 
 @query("""
-WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS object_id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id, text FROM conversations WHERE conv_id % 3 = 0),
+WITH RECURSIVE t AS (SELECT conv_id * 1000000 + turn AS object_id, CASE WHEN turn > 0 THEN conv_id * 1000000 + turn - 1 END AS parent_id, text FROM conversations),
 a(object_id, ancestor_id) AS (SELECT object_id, object_id FROM t UNION ALL SELECT a.object_id, t.parent_id FROM a JOIN t ON a.ancestor_id = t.object_id WHERE t.parent_id IS NOT NULL)
 SELECT object_id FROM t WHERE object_id NOT IN (SELECT a.object_id FROM a JOIN t u ON a.ancestor_id = u.object_id WHERE length(u.text) % 13 = 0)""")
 def fp_ancestor_trust(s, d):
-    x = t(s, d, "conversations").where("conv_id % 3 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("object_id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"), "text")
+    place = F.col("conv_id") * 1_000_000 + F.col("turn")
+    x = t(s, d, "conversations").select(place.alias("object_id"), F.when(F.col("turn") > 0, place - 1).alias("parent_id"), "text")
     held = x.where(F.length("text") % 13 == 0).select("object_id")
     return rollup.distrusted(x.select("object_id"), held, rollup.ancestors(x))
 
@@ -589,10 +596,14 @@ def metadata_json(s, d):
     return x.select("event_id", F.expr("get_json_object(props, concat('$.', k[0]))").alias("first"))
 
 
-@query("SELECT a.vec_id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_transform(a.embedding[1:24], lambda x: x > 0) = list_transform(b.embedding[1:24], lambda x: x > 0)")
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS signs FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: x > 0) FROM embeddings)
+SELECT a.vec_id, b.vec_id AS other FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.signs = b.signs""")
 def fuzzy_exact(s, d):
-    bits = F.array_join(F.transform(F.slice("embedding", 1, 24), lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    """All signs of each vector, and a planted copy of it."""
+    bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
     x = t(s, d, "embeddings").select("vec_id", bits.alias("image_hash"))
+    x = x.unionByName(x.withColumn("vec_id", F.col("vec_id") + 1_000_000_000))
     known = x.select(F.col("image_hash").alias("digest"), F.col("vec_id").alias("name"))
     return match.image_matches(x, known, id_col="vec_id").where("vec_id <> name").select("vec_id", F.col("name").alias("other"))
 
@@ -611,10 +622,12 @@ def script_normalize(s, d):
     return x.select("id", scripts.normalized("js").alias("code"))
 
 
-@query("SELECT doc_id, i - 1 AS offset, 'X' AS type FROM (SELECT doc_id, unnest(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 5) = 'token' AND i > 1)[1:10]) AS i FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))")
+@query(f"""
+WITH b AS (SELECT doc_id, string_split({BYTES}, '') AS c FROM documents)
+SELECT doc_id, unnest(list_filter(range(1, len(c) - 4), lambda i: c[i + 1] = 't' AND c[i + 2] || c[i + 3] || c[i + 4] || c[i + 5] = 'oken')) AS offset, 'X' AS type FROM b""")
 def embedded_objects(s, d):
-    x = t(s, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select(F.col("doc_id").alias("object_id"), F.col("text").cast("binary").alias("content"))
-    return structures.embedded(x, ((b"token", "X"),)).select(F.col("parent_id").alias("doc_id"), "offset", "type")
+    x = t(s, d, "documents").select(F.col("doc_id").alias("object_id"), F.col("text").cast("binary").alias("content"))
+    return structures.embedded(x, ((b"token", "X"),), most=None).select(F.col("parent_id").alias("doc_id"), "offset", "type")
 
 
 @query("SELECT * FROM (VALUES ('md5', 'd41d8cd98f00b204e9800998ecf8427e'), ('sha1', 'da39a3ee5e6b4b0d3255bfef95601890afd80709')) v(algo, digest)")

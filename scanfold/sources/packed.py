@@ -44,7 +44,7 @@ class Huffman:
 
     def __init__(self, lengths: list[int]):
         self.codes: dict[tuple[int, int], int] = {}
-        self.only = None
+        self.only, self.table = None, None
         code = 0
         for n in range(1, max(lengths, default=0) + 1):
             for symbol, own in enumerate(lengths):
@@ -54,15 +54,28 @@ class Huffman:
             code <<= 1
         self.most = max(lengths, default=0)
 
-    def read(self, bits: Bits, inverted: bool = False) -> int:
+    def _table(self, low_first: bool) -> list[tuple[int, int] | None]:
+        """For each run of as many bits as the longest code has, the symbol it begins with and the length of its code."""
+        table: list[tuple[int, int] | None] = [None] * (1 << self.most)
+        for (n, code), symbol in self.codes.items():
+            if low_first:
+                first = int(f"{code:0{n}b}"[::-1], 2)
+                for k in range(1 << self.most - n):
+                    table[first | k << n] = symbol, n
+            else:
+                first = code << self.most - n
+                table[first : first + (1 << self.most - n)] = [(symbol, n)] * (1 << self.most - n)
+        return table
+
+    def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = 0
-        for n in range(1, self.most + 1):
-            code = code << 1 | bits.take(1) ^ inverted
-            if (symbol := self.codes.get((n, code))) is not None:
-                return symbol
-        raise ValueError("no such code")
+        if self.table is None:
+            self.table = self._table(bits.low_first)
+        if (found := self.table[bits.peek(self.most)]) is None:
+            raise ValueError("no such code")
+        bits.skip(found[1])
+        return found[0]
 
     @classmethod
     def single(cls, symbol: int) -> Huffman:

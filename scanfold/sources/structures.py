@@ -203,16 +203,17 @@ INSIDE = ((b"PK\x03\x04", "ZIPSFX"), (b"Rar!\x1a\x07", "RARSFX"), (b"7z\xbc\xaf\
 MOST = 10
 
 
-def embedded(objects: DataFrame, kinds: tuple[tuple[bytes, str], ...] = INSIDE, *, id_col: str = "object_id", content: str = "content", most: int = MOST) -> DataFrame:
+def embedded(objects: DataFrame, kinds: tuple[tuple[bytes, str], ...] = INSIDE, *, id_col: str = "object_id", content: str = "content", most: int | None = MOST) -> DataFrame:
     """(parent_id, offset, type, content): from each place past the start where a magic stands, the object to its end.
 
     Each place counts once, in ascending order; with more than ``most`` places the first ones are taken, as the rule has
-    it. All in expressions, one pass.
+    it; None takes all. All in expressions, one pass.
     """
     text = raw.byte_text(content)
     every = F.concat(*(_places(magic, kind) for magic, kind in kinds))
     rows = objects.select(F.col(id_col).alias("parent_id"), F.col(content).cast("binary").alias("_c"), text.alias("_t"))
-    hits = F.slice(F.array_sort(F.filter(every, lambda p: p["offset"] > 0)), 1, most)
+    hits = F.array_sort(F.filter(every, lambda p: p["offset"] > 0))
+    hits = hits if most is None else F.slice(hits, 1, most)
     out = rows.select("parent_id", "_c", F.explode(hits).alias("p"))
     return out.select("parent_id", F.col("p.offset").alias("offset"), F.col("p.type").alias("type"), F.substring(F.col("_c"), (F.col("p.offset") + 1).cast("int"), F.lit(2147483647)).alias("content"))
 
