@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import member_queries as _members  # noqa: F401  registers its queries
 from .plans import queries as registered
+from .plans import table_queries as _tables  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

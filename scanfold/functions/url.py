@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,44 +79,65 @@ def shown(url: Column | str) -> Column:
     return F.regexp_replace(cleaned(url), r"\A[^A-Za-z0-9]+|[^A-Za-z0-9/]+\z", "")
 
 
-def _unescaped_fully(text: Column, rounds: int = 4) -> Column:
-    for _ in range(rounds):
-        text = unescape(text)
-    return text
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and named, so that the expression doesn't grow with its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _repeated(text: Column, rounds: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` so many times over; none leaves the text as it is."""
+    return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), text, lambda acc, _: step(acc))).otherwise(text)
+
+
+def _printable(t: Column) -> Column:
+    """Every byte that isn't printable as its escape; a text is cut into single bytes only where there is any."""
+    bytes_ = F.regexp_extract_all(F.hex(F.encode(t, "UTF-8")), F.lit("(..)"), F.lit(1))
+    escaped = F.array_join(F.transform(bytes_, lambda h: F.when((h <= "20") | (h >= "7F") | h.isin("25", "23"), F.concat(F.lit("%"), h)).otherwise(F.decode(F.unhex(h), "UTF-8"))), "")
+    return F.when(t.rlike(r"[^\x21-\x7e]|[%#]"), escaped).otherwise(t)
 
 
 def canonical(url: Column | str) -> Column:
     """(host, path): escapes resolved repeatedly, dot components folded, what isn't printable escaped again, no fragment, the host in lower case.
 
-    Null without a protocol. Four rounds of unescaping and of folding are made.
+    Null without a protocol. Unescaping is repeated as often as the text has signs or sums that could hide another escape, and
+    folding as often as it has double dots, so both end in a stable form; each stage is named, so the plan stays small.
     """
     u = col(url)
     rest = F.regexp_replace(F.regexp_extract(u, r"(?s)\A[^:]*:/*(.*)\z", 1), r"\A[^:/?@]*@", "")
-    t = F.regexp_replace(_unescaped_fully(F.regexp_replace(rest, "#.*", "")), r"\A[/.]+", "")
-    for _ in range(4):
-        t = F.regexp_replace(F.regexp_replace(t, r"/(?:\./)+", "/"), r"(?<=/)(?!\.\./)[^/?]+/\.\.(?:/|\z)", "")
-    # every byte that isn't printable goes back to its escape; the text is cut into single ones only where there is any
-    bytes_ = F.regexp_extract_all(F.hex(F.encode(t, "UTF-8")), F.lit("(..)"), F.lit(1))
-    escaped = F.array_join(F.transform(bytes_, lambda h: F.when((h <= "20") | (h >= "7F") | h.isin("25", "23"), F.concat(F.lit("%"), h)).otherwise(F.decode(F.unhex(h), "UTF-8"))), "")
-    t = F.when(t.rlike(r"[^\x21-\x7e]|[%#]"), escaped).otherwise(t)
-    h = F.lower(F.regexp_extract(t, r"\A([^:/?]*)", 1))
-    path = F.regexp_replace(F.substring(t, F.length(h) + 1, 2147483647), r"\A:[0-9]*", "")
-    return F.when(u.contains(":"), F.struct(F.concat(h, F.lit("/")).alias("host"), F.regexp_replace(path, r"\A/", "").alias("path")))
+    fold = lambda t: F.regexp_replace(F.regexp_replace(t, r"/(?:\./)+", "/"), r"(?<=/)(?!\.\./)[^/?]+/\.\.(?:/|\z)", "")
+    signs = lambda t: F.when(t.contains("%"), F.regexp_count(t, F.lit("%|25"))).otherwise(F.lit(0))
+    dots = lambda t: F.when(t.contains("/."), F.regexp_count(t, F.lit(r"/\.\.")) + 1).otherwise(F.lit(0))
+
+    def parts(t: Column) -> Column:
+        h = F.lower(F.regexp_extract(t, r"\A([^:/?]*)", 1))
+        path = F.regexp_replace(F.substring(t, F.length(h) + 1, 2147483647), r"\A:[0-9]*", "")
+        return F.struct(F.concat(h, F.lit("/")).alias("host"), F.regexp_replace(path, r"\A/", "").alias("path"))
+
+    plain = _let(F.regexp_replace(rest, "#.*", ""), lambda t: F.regexp_replace(_repeated(t, signs(t), unescape), r"\A[/.]+", ""))
+    return F.when(u.contains(":"), _let(_let(_let(plain, lambda t: _repeated(t, dots(t), fold)), _printable), parts))
 
 
 def lookups(url: Column | str) -> Column:
     """All strings whose digests a URL is looked up by: up to five host suffixes and the host, with up to six prefixes of the path."""
-    c = canonical(url)
-    labels = F.split(F.regexp_replace(c["host"], r"/\z", ""), r"\.", -1)
-    n = F.size(labels)
-    from_ = F.greatest(F.lit(2), F.least(n, F.lit(COMPONENTS)))
-    tails = F.transform(F.sequence(F.lit(2), from_), lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."))
-    hosts = F.array_distinct(F.concat(F.array(F.array_join(labels, ".")), F.when(n >= 2, tails).otherwise(F.array().cast("array<string>"))))
-    bare = F.substring_index(c["path"], "?", 1)
-    parts = F.split(bare, "/", -1)
-    heads = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(COMPONENTS - 1))), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
-    paths = F.array_distinct(F.concat(F.array(c["path"], bare), heads))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("/"), p))))
+
+    def found(c: Column) -> Column:
+        labels = F.split(F.regexp_replace(c["host"], r"/\z", ""), r"\.", -1)
+        bare = F.substring_index(c["path"], "?", 1)
+
+        def hosts(own: Column) -> Column:
+            n = F.size(own)
+            from_ = F.greatest(F.lit(2), F.least(n, F.lit(COMPONENTS)))
+            tails = F.transform(F.sequence(F.lit(2), from_), lambda k: F.array_join(F.slice(own, F.greatest(n - k + 1, F.lit(1)), k), "."))
+            return F.array_distinct(F.concat(F.array(F.array_join(own, ".")), F.when(n >= 2, tails).otherwise(F.array().cast("array<string>"))))
+
+        def paths(parts: Column) -> Column:
+            heads = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(COMPONENTS - 1))), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+            return F.array_distinct(F.concat(F.array(c["path"], bare), heads))
+
+        every = _let(F.split(bare, "/", -1), paths)
+        return _let(every, lambda ps: F.flatten(F.transform(_let(labels, hosts), lambda h: F.transform(ps, lambda p: F.concat(h, F.lit("/"), p)))))
+
+    return _let(canonical(url), lambda c: F.when(c.isNotNull(), found(c)))
 
 
 def text_links(text: Column | str) -> Column:

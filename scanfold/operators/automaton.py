@@ -110,19 +110,19 @@ def matches(objects: DataFrame, bodies: DataFrame, *, id_col: str = "object_id",
     rows = bodies.select("name", F.coalesce(F.col("off"), F.lit("*")).alias("off"), "hex", options.alias("options")).where("hex is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("hex") + F.octet_length("name") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-size // part))
-    work = objects.select(F.col(id_col).alias("id"), F.col(content).cast("binary").alias("content"), *([F.col(exe).alias("exe")] if exe else []))
-    kind = work.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, name string, offsets array<bigint>"
     found = None
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("name", "hex"), F.lit(parts)) == k).collect()  # of a proven size
-        table = sorted(tuple(r) for r in own)
-        if table:
-            one = work.mapInArrow(_runner(table, exe is not None), schema)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = objects.sparkSession.createDataFrame([], schema)
-    return found.withColumnRenamed("id", id_col)
+        one = over(objects, sorted(tuple(r) for r in own), id_col=id_col, content=content, exe=exe)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def over(objects: DataFrame, table: list[tuple[str, str, str, str]], *, id_col: str = "object_id", content: str = "content", exe: str | None = None) -> DataFrame:
+    """(object, name, offsets) of one automaton's signatures (name, off, hex, options)."""
+    work = objects.select(F.col(id_col).alias("id"), F.col(content).cast("binary").alias("content"), *([F.col(exe).alias("exe")] if exe else []))
+    schema = f"id {work.schema['id'].dataType.simpleString()}, name string, offsets array<bigint>"
+    return work.mapInArrow(_runner(table, exe is not None), schema).withColumnRenamed("id", id_col)
 
 
 def _runner(table: list[tuple], with_exe: bool):

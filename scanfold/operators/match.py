@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raw
 from ..functions import text as tx
-from . import patterns
+from . import automaton, patterns
 from .logic import Logical
 
 #: A signature table is broadcast only while it has so many rows and bytes; a larger one is joined by shuffle.
@@ -101,15 +101,14 @@ def image_matches(objects: DataFrame, signatures: DataFrame, *, id_col: str = "o
 
 
 def body_matches(objects: DataFrame, signatures: list[tuple[str, str, str, str]], *, id_col: str = "object_id", content: str = "content", exe: str | None = None) -> DataFrame:
-    """(object, name, offsets) for signatures (name, offset, hex, options): one projection, a filter, no UDF and no shuffle."""
-    text = raw.byte_text(content)
-    rows = objects.select(id_col, text.alias("_t"), *([exe] if exe else []))
-    each = []
-    for name, off, code, options in signatures:
-        offsets = patterns.hits(F.col("_t"), patterns.compile_hex(code, options), patterns.parse_offset(off), exe=F.col(exe) if exe else None)
-        each.append(F.struct(F.lit(name).alias("name"), offsets.alias("offsets")))
-    hit = rows.select(id_col, F.explode(F.array(*each)).alias("m")).where(F.size("m.offsets") > 0)
-    return hit.select(id_col, F.col("m.name").alias("name"), F.col("m.offsets").alias("offsets"))
+    """(object, name, offsets) for a list of signatures (name, offset, hex, options): one pass over the objects, no shuffle.
+
+    All go through one automaton, so the cost hardly grows with their number; see :func:`automaton.matches` for a table of them.
+    """
+    for _, off, code, options in signatures:  # a bad one is refused here, not in a worker
+        patterns.compile_hex(code, options)
+        patterns.parse_offset(off)
+    return automaton.over(objects, sorted(signatures), id_col=id_col, content=content, exe=exe)
 
 
 def logical_matches(objects: DataFrame, signatures: list[Logical], *, id_col: str = "object_id", content: str = "content") -> DataFrame:

@@ -456,3 +456,19 @@ WRITERS: dict[str, tuple[str, Callable[[str, bytes], bytes], bool]] = {
     "compound": ("MSOLE2", document, True), "rtf": ("RTF", rich_text, True), "word_xml": ("XML_WORD", word_xml, True), "notebook": ("ONENOTE", notebook, False), "hwp": ("HWP3", korean, False),
     "inverted": ("CRYPTFF", inverted, False),
 }
+
+
+def program(name: str, body: bytes) -> bytes:
+    """A PE file whose first section is the text, entered at its start; the second one imports a function of the member's name and an ordinal."""
+    second, at = 0x2000 + len(body) // 0x1000 * 0x1000, 512 + len(body)
+    function = name.rsplit(".", 1)[0].upper().encode() + b"\0"
+    imports = struct.pack("<5I", second + 40, 0, 0, second + 54 + len(function), second + 40) + bytes(20)
+    imports += struct.pack("<III", second + 52, 1 << 31 | 7, 0) + bytes(2) + function + b"KERNEL32.dll\0"
+    optional = bytearray(224)
+    struct.pack_into("<H", optional, 0, 0x10B)
+    struct.pack_into("<I", optional, 16, 0x1000)
+    struct.pack_into("<II", optional, 104, second, len(imports))
+    head = b"MZ".ljust(60, b"\0") + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 2, 0, 0, 0, 224, 0x102) + bytes(optional)
+    for label, size, rva, raw in ((b".text", len(body), 0x1000, 512), (b".idata", len(imports), second, at)):
+        head += label.ljust(8, b"\0") + struct.pack("<IIII", size, rva, size, raw) + bytes(16)
+    return head.ljust(512, b"\0") + body + imports
