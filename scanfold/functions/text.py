@@ -175,3 +175,14 @@ def published_name(name: Column | str, official: Column | bool) -> Column:
     """The name as it is reported: cut at a bracketed remark, and marked when its table isn't official."""
     cut = F.regexp_replace(col(name), r" \([^)]*\).*\z", "")
     return F.when(F.lit(official) if isinstance(official, bool) else official, cut).otherwise(F.concat(cut, F.lit(".UNOFFICIAL")))
+
+
+def hash32(key: Column | str) -> Column:
+    """A mix of 32-bit keys by shifts and sums, as a long from 0 on."""
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
+    k = low(F.bitwise_not(col(key).cast("long")) + F.shiftleft(col(key).cast("long"), 15))
+    k = k.bitwiseXOR(F.shiftright(k, 12))
+    k = low(k + F.shiftleft(k, 2))
+    k = k.bitwiseXOR(F.shiftright(k, 4))
+    k = low(k * 2057)
+    return k.bitwiseXOR(F.shiftright(k, 16))

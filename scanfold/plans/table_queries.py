@@ -301,3 +301,43 @@ def deep_ancestors(s, d):
     key = F.col("c_custkey")
     x = t(s, d, "customer").select(key.alias("object_id"), F.when((key % 40 != 0) & (key > 1), key - 1).alias("parent_id"))
     return rollup.ancestors(x)
+
+
+@query("""
+WITH a AS (SELECT c_custkey, ((4294967295 - c_custkey) + c_custkey * 32768) & 4294967295 AS k FROM customer), b AS (SELECT c_custkey, xor(k, k >> 12) AS k FROM a), c AS (SELECT c_custkey, (k + k * 4) & 4294967295 AS k FROM b),
+d AS (SELECT c_custkey, xor(k, k >> 4) AS k FROM c), e AS (SELECT c_custkey, (k * 2057) & 4294967295 AS k FROM d) SELECT c_custkey, CAST(xor(k, k >> 16) AS BIGINT) AS hash FROM e""")
+def hash_mix(s, d):
+    return t(s, d, "customer").select("c_custkey", tx.hash32("c_custkey").alias("hash"))
+
+
+@query("SELECT doc_id, k AS kind, k AS type FROM documents, (VALUES ('HFSPLUS'), ('ISO9660'), ('UDF')) v(k)")
+def volume_types(s, d):
+    """What partitions hold, told by magics at their places."""
+    from . import scan
+
+    every = None
+    for kind, name in (("hfs", "HFSPLUS"), ("iso", "ISO9660"), ("udf", "UDF")):
+        one = wrapped(t(s, d, "documents"), kind).select(F.col("object_id").alias("doc_id"), F.lit(name).alias("kind"), scan.volume_type("content").alias("type"))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+@query("SELECT doc_id, 'words:' || len(regexp_extract_all(text, 'the')) AS name FROM documents WHERE contains(text, 'the')")
+def user_inspection(s, d):
+    """A user's function over each object's bytes."""
+    from ..operators import reader
+
+    def look(r):
+        n = 0
+        while (at := r.find(b"the")) >= 0:
+            n += 1
+            r.seek(at + 3)
+        return f"words:{n}" if n else None
+
+    return reader.inspected(docs(s, d), look).select(F.col("object_id").alias("doc_id"), "name")
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def windows_of_objects(s, d):
+    """A nested view of each object, of all its bytes."""
+    return docs(s, d).select(F.col("object_id").alias("doc_id"), F.sha2(raw.window("content", 0, F.octet_length("content")), 256).alias("digest"))

@@ -282,8 +282,11 @@ def zstandard(data: bytes, limit: int) -> Iterator[Row]:
     """Frames one after another; skippable ones are passed over."""
     import zstandard as z
 
-    with z.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as f:
-        body, _ = _bounded(f, limit)
+    try:
+        with z.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as f:
+            body, _ = _bounded(f, limit)
+    except z.ZstdError as e:
+        raise ValueError(str(e)) from e
     yield None, len(data), len(body), False, 1, body, None
 
 

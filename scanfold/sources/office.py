@@ -172,7 +172,7 @@ def rich_text(data: bytes, limit: int) -> Iterator[Row]:
 
 def office_xml(data: bytes, limit: int) -> Iterator[Row]:
     """Binary data in base64 of the XML forms of office documents; a packed one is unpacked."""
-    form = rb"<(?:\w+:)?(binData|docSuppData|Data)\b([^>]*)>([A-Za-z0-9+/=\s]+)</"
+    form = rb"<(?:\w+:)?(binData|docSuppData|Data)\b([^>]*)>([A-Za-z0-9+/=\s]*)</"
     for k, m in enumerate(re.finditer(form, data)):
         raw = base64.b64decode(re.sub(rb"\s", b"", m[3]) + b"==")
         named = re.search(rb'name="([^"]*)"', m[2])

@@ -113,3 +113,13 @@ class Reloading:
         if now != self.state:
             self.state, self.loaded = now, tables.load_folder(spark, self.path)
         self.sink(self.scan(batch, self.loaded), number)
+
+
+def activity(spark) -> dict[str, int]:
+    """How busy the session is: jobs and stages that run, and their tasks by state."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for s in (tracker.getStageInfo(k) for k in tracker.getActiveStageIds()) if s]
+    return {
+        "jobs": len(tracker.getActiveJobsIds()), "stages": len(stages), "tasks": sum(s.numTasks for s in stages), "running": sum(s.numActiveTasks for s in stages),
+        "done": sum(s.numCompletedTasks for s in stages), "failed": sum(s.numFailedTasks for s in stages),
+    }
