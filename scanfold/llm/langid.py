@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -97,6 +97,8 @@ def _dense(gram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, place[gram].astype(np.int64)
 
 
+#: Unit vectors are summed, and scores counted, in whole numbers of such parts, so the order of rows doesn't matter; sums of 2 ** 38 rows of a label fit 64 bits.
+PARTS = 2**24
 #: A label's share of rows to learn from is a whole number of such parts.
 SHARES = 2**62
 
@@ -110,6 +112,11 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _sums(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for label, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([x], pa.list_(pa.int64()))], names=["lang", "sums"])
+
+
 def _batched(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in common.text_slices(batches, column, SLICE):
         for first in range(0, batch.num_rows, 128):
@@ -127,17 +134,18 @@ class LanguageModel:
 
     @classmethod
     def fit(
-        cls, docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = 2000, dims: int = 1024, n: int = 3, limits: bool = False, most_labels: int = 10_000
+        cls, docs: DataFrame, *, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int | None = None, dims: int = 1024, n: int = 3, limits: bool = False, most_labels: int = 10_000
     ) -> LanguageModel:
-        """Learn from about ``per_label`` rows of each label at most, chosen by a hash of the text and the id, if there is one.
+        """Learn from every row that has a label and a text. More than ``most_labels`` labels are an error: such a column names something else than languages.
 
-        A label's share is counted in steps of 2 ** -62 and is one step at least, so none is too large to be learned. More than
-        ``most_labels`` labels are an error: such a column names something else than languages.
+        ``per_label`` asks for a sample instead: about so many rows of each label at most, chosen by a hash of the text and the id,
+        if there is one. A label's share is counted in steps of 2 ** -62 and is one step at least, so none is too large to be learned.
 
-        Rows with a null label or text teach nothing. The driver gets a count and one prototype for each label and
-        for each of 16 tasks at most. With ``limits`` the same rows are judged once more, each by the others of its
-        label; three quarters of the score that 99 % of a label's rows of one size class reach is the least for that
-        class, and no least is below three standard deviations of the score of texts that share no n-gram.
+        Rows with a null label or text teach nothing, and rows that repeat teach each time. Texts aren't shuffled: each task sends
+        one sum for each label it saw, 16 tasks add them, and the driver gets a count and one prototype for each label. With
+        ``limits`` the same rows are judged once more, each by the others of its label; three quarters of the score that 99 % of a
+        label's rows of one size class reach is the least for that class, and no least is below three standard deviations of the
+        score of texts that share no n-gram. All scores are counted, in steps of 2 ** -24.
         """
         labelled = common.with_small_batches(docs).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
         own_id = F.col(id_col).cast("string") if id_col in docs.columns else F.lit(None).cast("string")
@@ -148,41 +156,55 @@ class LanguageModel:
             raise ValueError(f"{label_col} has more than {most_labels} labels")
         if not sizes:
             return cls([], np.zeros((0, dims), np.float32), dims, n)
-        share = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, sampling_steps(per_label, v))))
-        sample = work.where(F.pmod(F.xxhash64("text", "id"), F.lit(SHARES)) < share[F.col("lang")]).drop("id").repartition(16)
+        if per_label is not None:
+            share = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, sampling_steps(per_label, v))))
+            work = work.where(F.pmod(F.xxhash64("text", "id"), F.lit(SHARES)) < share[F.col("lang")]).repartition(16)
+        work = work.drop("id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             profiler, sums = Profiler(dims, n), {}
             for batch in _batched(batches, "text"):
                 bundles, has = profiler.bundle(batch.column("text").to_pylist())
-                for label, unit, ok in zip(batch.column("lang").to_pylist(), _units(bundles), has, strict=True):
-                    if ok:
-                        sums[label] = sums.get(label, 0) + np.round(unit.astype(np.float64) * 2**24)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.astype(np.int64).tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "sums"])
-
-        totals: dict[str, np.ndarray] = {}
-        for r in sample.mapInArrow(run, "lang string, sums array<long>").collect():
-            totals[r["lang"]] = totals.get(r["lang"], 0) + np.array(r["sums"], np.int64)
+                own, parts = np.array(batch.column("lang").to_pylist(), object), np.round(_units(bundles).astype(np.float64) * PARTS).astype(np.int64)
+                for label in set(own[has]):
+                    sums[label] = sums.get(label, 0) + parts[has & (own == label)].sum(axis=0)
+            yield from _sums(sums)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for label, x in zip(batch.column("lang").to_pylist(), batch.column("sums").flatten().to_numpy().reshape(-1, dims), strict=True):
+                    sums[label] = sums.get(label, 0) + x
+            yield from _sums(sums)
+
+        shape = "lang string, sums array<long>"
+        totals = {r["lang"]: np.array(r["sums"], np.int64) for r in work.mapInArrow(run, shape).repartition(16, "lang").mapInArrow(add, shape).collect()}
         labels = sorted(totals)
         stacked = np.stack([totals[x] for x in labels]).astype(np.float64) if labels else np.zeros((0, dims))
         model = cls(labels, _units(stacked).astype(np.float32), dims, n)
         if limits:
-            model.limits = cls._limits(sample, labels, totals, dims, n)
+            model.limits = cls._limits(work, labels, totals, dims, n)
         return model
 
     @staticmethod
-    def _limits(sample: DataFrame, labels: list[str], totals: dict[str, np.ndarray], dims: int, n: int) -> np.ndarray:
+    def _limits(rows: DataFrame, labels: list[str], totals: dict[str, np.ndarray], dims: int, n: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             profiler = Profiler(dims, n)
             for batch in _batched(batches, "text"):
                 bundles, has, size = profiler.profile(batch.column("text").to_pylist())
                 units, own = _units(bundles).astype(np.float64), np.array(batch.column("lang").to_pylist(), object)
-                others = _units(np.stack([totals[x] if ok else np.zeros(dims) for x, ok in zip(own, has, strict=True)]) - np.round(units * 2**24))
-                score = (units * others).sum(axis=1)
+                others = _units(np.stack([totals[x] if ok else np.zeros(dims) for x, ok in zip(own, has, strict=True)]) - np.round(units * PARTS))
+                score = np.floor((units * others).sum(axis=1) * PARTS).astype(np.int64)
                 keep = has & others.any(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(own[keep], pa.string()), pa.array(size[keep], pa.int64()), pa.array(score[keep], pa.float64())], names=["lang", "size", "score"])
-
-        found = sample.mapInArrow(run, "lang string, size long, score double").groupBy("lang", "size").agg(F.percentile("score", F.lit(0.01)).alias("low")).collect()
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep], pa.string()), pa.array(size[keep], pa.int64()), pa.array(score[keep], pa.int64())], names=["lang", "size", "score"])
+
+        # the percentile between two ranks, from counts by score: an aggregate that keeps a group's scores has no room for all rows of a language
+        group = Window.partitionBy("lang", "size")
+        counted = rows.mapInArrow(run, "lang string, size long, score long").groupBy("lang", "size", "score").count()
+        upto = counted.select("lang", "size", "score", F.sum("count").over(group.orderBy("score")).alias("upto"), (F.sum("count").over(group) - 1).alias("last"))
+        at = lambda rank: F.min(F.when(F.col("upto") > F.least(F.expr(rank), F.col("last")), F.col("score")))
+        low, high = at("last div 100"), at("last div 100 + 1")
+        found = upto.groupBy("lang", "size").agg(((low + (high - low) * F.max(F.col("last") % 100) / 100) / PARTS).alias("low")).collect()
         least = 3 / np.sqrt(dims)
         out = np.full((len(labels), 64), np.nan)
         for r in found:

@@ -83,6 +83,41 @@ def test_language_stage_drops_unlearned_texts(spark):
     assert model.kept(spanish, least=None).count() <= 0.1 * spanish.count()
 
 
+def test_language_stage_learns_from_every_row(spark):
+    """Prototypes, least scores and what the stage keeps, once more over all labelled rows; a sample of each label has others."""
+    import numpy as np
+
+    r = random.Random(3)
+    words = {"aa": "the and ing tion of to with from".split(), "bb": "der die und sch ein ich mit von".split()}
+    line = lambda lang, n: " ".join("".join(r.choices(words[lang], k=2)) if r.random() < 0.9 else "".join(r.choices("klmnopq", k=5)) for _ in range(n))
+    rows = [(k, line(lang, r.choice([2, 5, 12])), lang) for k in range(7000) for lang in ["aa" if k % 7 < 5 else "bb"]]
+    noisy = lambda share, n: " ".join("".join(r.choices(words["bb"], k=2)) if r.random() < share else "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(n))
+    rows += [(10**4 + k, noisy(k / 1000, 12), None) for k in range(1000)] + [(None, "123 ...", "aa"), (2 * 10**4, None, "bb"), (None, line("aa", 5), "aa")]
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    bundles, has, size = langid.Profiler().profile([x[1] for x in rows])
+    units = bundles / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
+    own = np.array([x[2] for x in rows], object)
+    labels, one = ["aa", "bb"], lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    totals = np.stack([units[has & (own == x)].astype(float).sum(axis=0) for x in labels])
+    model = langid.LanguageModel.fit(df, limits=True)
+    assert model.labels == labels and np.abs(model.prototypes - one(totals)).max() < 1e-5
+    least = {}
+    for k, x in enumerate(labels):
+        mine = has & (own == x)
+        score = (units[mine] * one(totals[k] - units[mine])).sum(axis=1)
+        for c in set(size[mine]):
+            least[k, c] = max(3 / 32, 0.75 * np.percentile(score[size[mine] == c], 1))
+            assert abs(model.limits[k, c] - least[k, c]) < 1e-5
+    cosines = units @ one(totals).T
+    best = cosines.argmax(axis=1)
+    above = np.array([cosines[i, b] - next((least[b, c] for c in range(size[i], -1, -1) if (b, c) in least), 9.0) if has[i] else -9.0 for i, b in enumerate(best)])
+    assert min((above > 1e-4).sum(), (above < -1e-4).sum()) > 100
+    kept = {x["text"] for x in corpus_pipeline.language(spark, df, FOLDER).collect()}
+    assert {x[1] for x, a in zip(rows, above, strict=True) if a > 1e-4} <= kept
+    assert not kept & {x[1] for x, a in zip(rows, above, strict=True) if a < -1e-4}
+
+
 def test_language_predictions_by_brute_force(spark):
     """op6 once more: letter by letter, in plain loops over the n-grams of each text."""
     from collections import Counter
