@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +74,53 @@ def test_codecs():
     assert packed.explode(trees + trees + coded, 6, 0) == b"abcabc"
 
 
+def seconds(kind):
+    """CPU seconds for a megabyte, written and read back."""
+    type_, write, _ = writers.WRITERS[kind]
+    r, began = random.Random(4), None
+    bodies = [bytes(r.choices(range(32, 127), k=4000)) for _ in range(250)]
+    began = time.process_time()
+    for body in bodies:
+        made = write("d1.txt", body)
+        rows = list(members.DECODERS[type_](made, 1 << 30, (b"infected",)) if kind == "zip_locked" else members.DECODERS[type_](made, 1 << 30))
+        assert rows[0][5] == body
+    return time.process_time() - began
+
+
+def test_lzh_codes_of_several_lengths_and_copies():
+    r = random.Random(6)
+    lengths = [8 if k < 128 else 9 if k < 256 else 10 if k < 510 else 0 for k in range(510)]
+    codes, code = {}, 0
+    for n in (8, 9, 10):
+        for symbol in (k for k in range(510) if lengths[k] == n):
+            codes[symbol] = f"{code:0{n}b}"
+            code += 1
+        code <<= 1
+    symbols, want, bits = [], bytearray(), []
+    while len(want) < 30000:
+        c, p = r.choice((r.randrange(256), r.randrange(510))), r.randrange(14)
+        symbols.append(codes[c] + (f"{p:04b}" + (f"{0:0{p - 1}b}" if p > 1 else "") if c > 255 else ""))
+        if c < 256:
+            want.append(c)
+        else:
+            distance = 1 if p == 0 else (1 << p - 1) + 1
+            for _ in range(c - 253):
+                want.append(want[-distance] if distance <= len(want) else 0)
+    for k in range(0, len(symbols), 2000):
+        part = symbols[k : k + 2000]
+        helper = f"{19:05b}" + "101" * 3 + "00" + "101" * 16
+        bits.append(f"{len(part):016b}" + helper + f"{510:09b}" + "".join(f"{n + 2:05b}" for n in lengths) + f"{14:04b}" + "100" * 14 + "".join(part))
+    text = "".join(bits)
+    raw = int(text + "0" * (-len(text) % 8), 2).to_bytes(-(-len(text) // 8), "big")
+    assert packed.lzh(raw, len(want), 14, 4) == bytes(want) and packed.lzh(raw, 12345, 14, 4) == bytes(want[:12345])
+    with pytest.raises(ValueError, match="ends early"):
+        packed.lzh(raw[:100], len(want), 14, 4)
+
+
+def test_lha_keeps_up():
+    assert seconds("lha") < 1.0
+
+
 def test_zip_members_by_local_header():
     made = writers.zipped("a.txt", WORDS)
     assert archives.zip_member(made, 999)[5] == WORDS
