@@ -117,8 +117,9 @@ def test_lzh_codes_of_several_lengths_and_copies():
         packed.lzh(raw[:100], len(want), 14, 4)
 
 
-def test_lha_keeps_up():
-    assert seconds("lha") < 1.0
+@pytest.mark.parametrize("kind", ["lha", "arj"])
+def test_bulk_codecs_keep_up(kind):
+    assert seconds(kind) < 1.0
 
 
 def test_zip_members_by_local_header():
