@@ -117,11 +117,23 @@ def test_lzh_codes_of_several_lengths_and_copies():
         packed.lzh(raw[:100], len(want), 14, 4)
 
 
-@pytest.mark.parametrize("kind", ["lha", "arj"])
+@pytest.mark.parametrize("kind", ["lha", "arj", "szdd"])
 def test_bulk_codecs_keep_up(kind):
     assert seconds(kind) < 1.0
 
 
+def test_flagged_tokens_at_any_place():
+    r = random.Random(7)
+    for n in (*range(40), 3599, 3600, 3601, 3607, 4095, 4096, 4097, 7205, 9001):
+        for body in (bytes(r.choices(range(256), k=n)), bytes(r.choices(b"ab", [9, 1], k=n))):
+            assert packed.szdd(writers.szdd("x", body), 1 << 20) == body and packed.szdd(writers.szdd("x", body), n // 2) == body[: n // 2]
+            assert office.vba_decompressed(writers.vba_container(body)) == body
+    began = time.process_time()
+    body = bytes(r.choices(range(256), k=4_000_000))
+    assert office.vba_decompressed(writers.vba_container(body)) == body
+    assert time.process_time() - began < 2
+
+
 def test_zip_members_by_local_header():
     made = writers.zipped("a.txt", WORDS)
     assert archives.zip_member(made, 999)[5] == WORDS
