@@ -117,7 +117,7 @@ def test_lzh_codes_of_several_lengths_and_copies():
         packed.lzh(raw[:100], len(want), 14, 4)
 
 
-@pytest.mark.parametrize("kind", ["lha", "arj", "szdd"])
+@pytest.mark.parametrize("kind", ["lha", "arj", "szdd", "pdf_lzw"])
 def test_bulk_codecs_keep_up(kind):
     assert seconds(kind) < 1.0
 
@@ -134,6 +134,36 @@ def test_flagged_tokens_at_any_place():
     assert time.process_time() - began < 2
 
 
+def lzw_packed(body, clear):
+    """Codes as they are defined, the table cleared after each ``clear`` of them."""
+    bits, at = "", 0
+    while at < len(body):
+        bits += f"{256:0{9 if not bits else width}b}"  # noqa: F821
+        table, width, n, before = {bytes([k]): k for k in range(256)}, 9, 258, None
+        for _ in range(clear):
+            size = next((k for k in range(1, len(body) - at + 1) if body[at : at + k] not in table), len(body) - at + 1) - 1
+            if not size:
+                break
+            bits += f"{table[body[at : at + size]]:0{width}b}"
+            if before is not None and n < 4096:
+                n += 1
+            before, at = size, at + size
+            if n < 4095 and at < len(body):
+                table[body[at - size : at + 1]] = n
+            width = 12 if n >= 2047 else 11 if n >= 1023 else 10 if n >= 511 else 9
+    bits += f"{257:0{width}b}"
+    return int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_lzw_cleared_at_any_place():
+    r = random.Random(8)
+    for alphabet in (range(256), b"ab"):
+        body = bytes(r.choices(alphabet, k=5000))
+        for clear in (1, 2, 252, 253, 254, 255, 256, 600, 3000):
+            raw = lzw_packed(body, clear)
+            assert packed.lzw(raw, 1 << 20) == body and packed.lzw(raw, 777) == body[:777] and packed.lzw(raw, len(body)) == body, clear
+
+
 def test_zip_members_by_local_header():
     made = writers.zipped("a.txt", WORDS)
     assert archives.zip_member(made, 999)[5] == WORDS
