@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed and read from its row once: each mention of a binary column copies the whole of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def byte_text(content: Column | str) -> Column:
     """Binary content, or a string's UTF-8 bytes, as a string of characters 0 to 255. Its length is the size in bytes."""
     return F.decode(col(content).cast("binary"), "ISO-8859-1")

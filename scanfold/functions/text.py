@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .raw import byte_text, col
+from .raw import byte_text, col, once
 
 DIGESTS = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha384": lambda c: F.sha2(c, 384), "sha512": lambda c: F.sha2(c, 512)}
 ALGORITHM = {32: "md5", 40: "sha1", 64: "sha256"}
@@ -23,16 +23,15 @@ def normalize_text(content: Column | str) -> Column:
 
 def text_type(content: Column | str) -> Column:
     """ASCII, then UTF-8, then UTF-16 either way, else binary data; control characters that text doesn't hold decide."""
-    b = byte_text(content)
     utf16 = lambda low: rf"(?s)\A(?:{low})+.?\z"
     plain = r"[\x07-\x0d\x1b\x20-\x7e]"
-    return (
+    return once(byte_text(content), lambda b: (
         F.when(b.rlike(rf"(?s)\A{plain}*\z"), "TEXT_ASCII")
         .when(~b.rlike(r"[\x00-\x06\x0e-\x1a\x1c-\x1f\x7f]") & b.rlike(r"(?s)\A(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})*+\z"), "TEXT_UTF8")
         .when(b.rlike(utf16(rf"{plain}\x00|\xff\xfe")), "TEXT_UTF16LE")
         .when(b.rlike(utf16(rf"\x00{plain}|\xfe\xff")), "TEXT_UTF16BE")
         .otherwise("BINARY_DATA")
-    )
+    ))
 
 
 def bom(content: Column | str) -> Column:

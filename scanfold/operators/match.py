@@ -75,12 +75,17 @@ def container_matches(members: DataFrame, rules: DataFrame, *, id_col: str = "ob
 
 def magic_type(content: Column, magics: Iterable[tuple[int, bytes, str]], otherwise: Column | None = None) -> Column:
     """The type of the last of ``magics`` (offset, bytes, type) that the content has, as later entries go before earlier; else the text type."""
-    out = None
-    for offset, magic, name in reversed(list(magics)):
-        here = F.substring(content, offset + 1, len(magic)) == F.lit(bytearray(magic))
-        out = F.when(here, name) if out is None else out.when(here, name)
-    other = tx.text_type(content) if otherwise is None else otherwise
-    return other if out is None else out.otherwise(other)
+    entries = list(reversed(list(magics)))
+
+    def told(c: Column) -> Column:
+        out = None
+        for offset, magic, name in entries:
+            here = F.substring(c, offset + 1, len(magic)) == F.lit(bytearray(magic))
+            out = F.when(here, name) if out is None else out.when(here, name)
+        other = tx.text_type(c) if otherwise is None else otherwise
+        return other if out is None else out.otherwise(other)
+
+    return raw.once(content, told)
 
 
 def magic_matches(objects: DataFrame, magics: DataFrame, *, id_col: str = "object_id", content: str = "content") -> DataFrame:

@@ -13,6 +13,14 @@ from . import scan
 from .queries import ORACLES, QUERIES, t
 
 
+#: Bytes of containers after which a batch of them is given away.
+BATCH = 2 << 20
+
+
+def _batch(ids: list[int], made: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], names=["object_id", "content"])
+
+
 def wrapped(objects: DataFrame, kind: str) -> DataFrame:
     """(object_id, content): each text as the only member, named after its id, of a container."""
     write = writers.WRITERS[kind][1] if kind in writers.WRITERS else getattr(writers, kind)
@@ -20,10 +28,16 @@ def wrapped(objects: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                own = batch.column("object_id")[k].as_py()
-                made = write(f"d{own}.txt", batch.column("content")[k].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([made], pa.binary())], names=["object_id", "content"])
+            ids, made, size = [], [], 0
+            for own, body in zip(batch.column("object_id").to_pylist(), batch.column("content"), strict=True):
+                ids.append(own)
+                made.append(write(f"d{own}.txt", body.as_py()))
+                size += len(made[-1])
+                if size > BATCH:
+                    yield _batch(ids, made)
+                    ids, made, size = [], [], 0
+            if ids:
+                yield _batch(ids, made)
 
     return rows.mapInArrow(run, "object_id long, content binary")
 

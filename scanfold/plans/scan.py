@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dlp, html, tables, url
+from ..functions import dlp, html, raw, tables, url
 from ..functions import text as tx
 from ..operators import match, rollup
 from ..operators.logic import Logical
@@ -78,13 +78,18 @@ class ScanConfig:
 
 def typed(objects: DataFrame, content: str = "content") -> DataFrame:
     """Objects with their type: a magic, HTML by its tags anywhere in a text, else a kind of text."""
-    t = match.magic_type(F.col(content), MAGICS)
-    text = F.lower(F.decode(F.when(t.isin("TEXT_ASCII", "TEXT_UTF8"), F.col(content)), "ISO-8859-1"))
-    looks = F.coalesce(text.rlike(r"<(?:!doctype html|html|head|body|title|script|table|iframe|a href)\b"), F.lit(False))
-    forms = F.coalesce(text.rlike(r"progid=\"(?:word|excel)\.(?:document|sheet)\""), F.lit(False))
-    mbr = (F.hex(F.substring(content, 511, 2)) == "55AA") & (t == "BINARY_DATA")
-    image = F.substring(F.col(content), -512, 4) == F.lit(bytearray(b"koly"))
-    return objects.withColumn("type", F.when(image & (t != "ZIP"), "DMG").when(forms, "XML_WORD").when(looks, "HTML").when(mbr, "MBR").otherwise(t))
+    def of_text(t: Column, text: Column) -> Column:
+        looks = F.coalesce(text.rlike(r"<(?:!doctype html|html|head|body|title|script|table|iframe|a href)\b"), F.lit(False))
+        forms = F.coalesce(text.rlike(r"progid=\"(?:word|excel)\.(?:document|sheet)\""), F.lit(False))
+        return F.when(forms, "XML_WORD").when(looks, "HTML").otherwise(t)
+
+    def of_magic(c: Column, t: Column) -> Column:
+        mbr = (t == "BINARY_DATA") & (F.hex(F.substring(c, 511, 2)) == "55AA")
+        image = F.substring(c, -512, 4) == F.lit(bytearray(b"koly"))
+        texts = raw.once(F.lower(F.decode(c, "ISO-8859-1")), lambda text: of_text(t, text))
+        return F.when(image & (t != "ZIP"), "DMG").when(t.isin("TEXT_ASCII", "TEXT_UTF8"), texts).when(mbr, "MBR").otherwise(t)
+
+    return objects.withColumn("type", raw.once(F.col(content), lambda c: raw.once(match.magic_type(c, MAGICS), lambda t: of_magic(c, t))))
 
 
 def volume_type(content: Column | str) -> Column:
