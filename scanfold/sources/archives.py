@@ -226,14 +226,15 @@ class _Seven:
         return found
 
 
-def _filters7(method: bytes, properties: bytes) -> list[dict] | None:
-    """The lzma module's filter of a coder, None for one that it doesn't have."""
+def _filters7(method: bytes, properties: bytes, size: int) -> list[dict] | None:
+    """The lzma module's filter of a coder, None for one that it doesn't have. No distance goes further back than the output's ``size``, so no larger window is held."""
+    most = max(4096, size)
     if method == b"\x21":
         bits = properties[0]
-        return [{"id": lzma.FILTER_LZMA2, "dict_size": min(0xFFFFFFFF, (2 | bits & 1) << bits // 2 + 11) if bits < 40 else 0xFFFFFFFF}]
+        return [{"id": lzma.FILTER_LZMA2, "dict_size": min(0xFFFFFFFF, most, (2 | bits & 1) << bits // 2 + 11) if bits < 40 else min(0xFFFFFFFF, most)}]
     if method == b"\x03\x01\x01":
         b = properties[0]
-        return [{"id": lzma.FILTER_LZMA1, "lc": b % 9, "lp": b // 9 % 5, "pb": b // 45, "dict_size": max(4096, struct.unpack("<I", properties[1:5])[0])}]
+        return [{"id": lzma.FILTER_LZMA1, "lc": b % 9, "lp": b // 9 % 5, "pb": b // 45, "dict_size": min(most, max(4096, struct.unpack("<I", properties[1:5])[0]))}]
     return None
 
 
@@ -252,7 +253,7 @@ def _folder7(data: bytes, folder: dict, starts: list[tuple[int, int]], limit: in
     for k in reversed(chain):
         method, properties, _, _ = folder["coders"][k]
         size = min(folder["sizes"][k], limit)
-        if filters := _filters7(method, properties):
+        if filters := _filters7(method, properties, folder["sizes"][k]):
             body = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=filters).decompress(body, size)
         elif method == b"\x04\x01\x08":
             body = zlib.decompressobj(-15).decompress(body, size)

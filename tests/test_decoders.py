@@ -122,6 +122,13 @@ def test_bulk_codecs_keep_up(kind):
     assert seconds(kind) < 1.0
 
 
+def test_seven_holds_no_window_larger_than_the_text():
+    for n in (0, 1, 4096, 4097, 70000, (1 << 20) + 1):
+        body = (bytes(random.Random(n).choices(range(256), k=50000)) * (n // 50000 + 1))[:n]
+        assert [r[5] for r in archives.seven(writers.seven("a", body), 1 << 30)] == [body]
+    assert archives._filters7(b"\x21", b"\x18", 5000)[0]["dict_size"] == 5000 and archives._filters7(b"\x21", b"\x18", 1 << 30)[0]["dict_size"] == 1 << 24
+
+
 def test_flagged_tokens_at_any_place():
     r = random.Random(7)
     for n in (*range(40), 3599, 3600, 3601, 3607, 4095, 4096, 4097, 7205, 9001):
@@ -210,6 +217,15 @@ def test_scans_go_down_and_in_order(spark):
         rollup.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "object_id long, parent_id long"))
 
 
+def test_typing_reads_the_content_once(spark):
+    objects = spark.createDataFrame([(1, bytearray(writers.udf("a", b"x"))), (2, bytearray(b"<html>")), (3, None), (4, bytearray(writers.dmg("a", WORDS))), (5, bytearray(writers.partitioned("a", b"x")))], "object_id long, content binary")
+    objects = objects.repartition(1)
+    typed = scan.typed(objects).select("object_id", "type", scan.volume_type("content").alias("volume"))
+    assert typed._jdf.queryExecution().optimizedPlan().toString().count("array(content#") == 2
+    assert typed._jdf.queryExecution().optimizedPlan().toString().count("content#") < 8
+    assert {r[0]: (r[1], r[2]) for r in typed.collect()} == {1: ("UDF", "UDF"), 2: ("HTML", None), 3: ("BINARY_DATA", None), 4: ("DMG", None), 5: ("MBR", None)}
+
+
 def test_scan_parts(spark):
     pixels = np.random.default_rng(1).integers(0, 256, (40, 30, 3), dtype=np.uint8)
     raw = b"".join(b"\0" + row.tobytes() for row in pixels)
